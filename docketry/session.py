@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: set[str] = set()
+
 
 def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "docketry") -> SparkSession:
     """A session for one machine; on a cluster the caller brings its own."""
@@ -38,16 +42,44 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it from there, so later stages never recompute it.
+    """Write ``df`` as a table in the shared checkpoint folder and read it from there.
 
-    Constraints are not carried over: inferred again in every round of a loop they grow exponentially.
+    Later stages never recompute it, and a lost executor loses none of it. Unlike ``checkpoint()`` the
+    table's size is that of its files; sizes estimated again in every round of a loop grow without bound,
+    which costs minutes of planning and hides small tables from the optimizer.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    key = "spark.sql.constraintPropagation.enabled"
-    was = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")
-    try:
-        return df.select("*").checkpoint(eager=True)
-    finally:
-        spark.conf.set(key, was)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._docketry_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the tables of frames from ``cut`` that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_docketry_path", None)
+        if path in _written:
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _written.discard(path)
+
+
+@atexit.register
+def _delete_all() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return
+    for path in list(_written):
+        try:
+            _delete(spark, path)
+        except Exception:  # the gateway may be gone already
+            return
