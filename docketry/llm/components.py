@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.session import cut
+from docketry.session import cut, release
 
 
 def _canonical(edges: DataFrame) -> DataFrame:
@@ -39,10 +39,11 @@ def _roots(parents: DataFrame) -> DataFrame:
     tree = cut(tree)
     while True:
         up = tree.select(F.col("x").alias("p"), F.col("p").alias("pp"))
-        tree = cut(tree.join(up, "p").select("x", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")))
+        higher = cut(tree.join(up, "p").select("x", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")))
+        release(tree)
+        tree = higher
         if tree.where("moved").isEmpty():
-            return tree.select("x", "p")
-        tree = tree.select("x", "p")
+            return tree
 
 
 def connected_groups(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -52,7 +53,7 @@ def connected_groups(edges: DataFrame, left: str = "a", right: str = "b") -> Dat
     pointer doubling, edges are relabelled and deduplicated, until no edge joins two components. Each
     round at least halves the components that still have edges, so rounds are logarithmic in the ids,
     whatever the diameter. Only (component, component) rows are shuffled, aggregates combine before the
-    shuffle, and every round is cut by a checkpoint.
+    shuffle, and every round is written to the shared checkpoint folder.
 
     Rows with a null end are ignored; an id linked only to itself is a group of its own; repeated and
     reversed edges count once; an empty input gives an empty result. Ids compare by code point.
@@ -66,7 +67,9 @@ def connected_groups(edges: DataFrame, left: str = "a", right: str = "b") -> Dat
         rounds.append(roots)
         a = roots.select(F.col("x").alias("u"), F.col("p").alias("pu"))
         b = roots.select(F.col("x").alias("v"), F.col("p").alias("pv"))
-        rest = cut(_canonical(rest.join(a, "u").join(b, "v").select(F.col("pu").alias("u"), F.col("pv").alias("v"))))
+        left = cut(_canonical(rest.join(a, "u").join(b, "v").select(F.col("pu").alias("u"), F.col("pv").alias("v"))))
+        release(rest)
+        rest = left
     if not rounds:
         return ids.select("id", F.col("id").alias("group_id"))
     final = _compose(rounds)
@@ -80,9 +83,9 @@ def _compose(rounds: list[DataFrame]) -> DataFrame:
 
     def after(later: DataFrame, earlier: DataFrame) -> DataFrame:
         top = later.select(F.col("x").alias("p"), F.col("p").alias("pp"))
-        return earlier.join(top, "p", "left").select("x", F.coalesce("pp", "p").alias("p"))
+        return earlier.select("x", "p").join(top, "p", "left").select("x", F.coalesce("pp", "p").alias("p"))
 
-    return reduce(after, reversed(rounds))
+    return reduce(after, reversed(rounds)).select("x", "p")
 
 
 def spelled(column: Column) -> Column:
