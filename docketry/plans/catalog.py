@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docketry.plans import quantities
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["amounts_range"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p2_found": quantities.p2_found, "p2_unit_shifts": quantities.p2_unit_shifts}
 
 
 def oracle_sql() -> dict[str, str]:
