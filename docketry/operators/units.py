@@ -14,11 +14,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docketry.functions import quantities
 
 
-@F.pandas_udf("struct<number double, unit string>")
+@F.pandas_udf(T.StructType([T.StructField("number", T.DoubleType()), T.StructField("unit", T.StringType())]))
 def _read(raw: pd.Series, unit: pd.Series, normalized: pd.Series) -> pd.DataFrame:
     numbers, units = [], []
     for r, u, n in zip(raw, unit, normalized):
