@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import components
+from docketry.llm import components, consensus
 from docketry.sources.tables import table
 
 #: Relation types that state that two sources are the same record (fixed values).
@@ -20,6 +20,39 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.connected_groups(edges, "source_id", "related_source_id").withColumnRenamed("id", "source_id")
 
 
+def _surviving(spark: SparkSession, sf_dir: str, ranked: bool) -> DataFrame:
+    rows = table(spark, sf_dir, "evidence_extractions", "evidence_id", "extraction_id", "extracted_text", "quality_score", "occurred_at")
+    return consensus.surviving(rows, "evidence_id", "extraction_id", "extracted_text", "quality_score", "occurred_at", ranked=ranked)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surviving reading of every unit with several; trust decides the vote before numbers do."""
+    return _surviving(spark, sf_dir, ranked=True)
+
+
+def p1_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading closest to a vote weighted by quality scores alone."""
+    return _surviving(spark, sf_dir, ranked=False)
+
+
+def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surviving readings as whole records, missing fields filled from the reading's own other row."""
+    fields = ("occurred_at", "method", "extracted_text", "quality_score", "software_version", "model_version", "warnings_json")
+    rows = table(spark, sf_dir, "evidence_extractions", "evidence_id", "extraction_id", *fields)
+    return consensus.merged_readings(rows, "evidence_id", "extraction_id", *fields).join(p1_found(spark, sf_dir), ["evidence_id", "extraction_id"])
+
+
+P1_SQL = r"""
+WITH m AS (
+  SELECT evidence_id, extraction_id, max(extracted_text) t, max(quality_score) q, max(occurred_at) o
+  FROM evidence_extractions GROUP BY 1, 2),
+l AS (SELECT *, length(trim(regexp_replace(coalesce(t, ''), '[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g'))) n FROM m),
+u AS (SELECT *, max(n) OVER w longest, count(*) OVER w k FROM l WINDOW w AS (PARTITION BY evidence_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY CASE WHEN q BETWEEN 0 AND 1 THEN q ELSE -1 END DESC,
+  o DESC NULLS LAST, extraction_id DESC) rn FROM u WHERE k > 1 AND n > 0 AND n >= 0.8 * longest)
+SELECT evidence_id, extraction_id FROM r WHERE rn = 1
+"""
+
 P5_SQL = r"""
 WITH RECURSIVE e AS (
   SELECT DISTINCT source_id a, related_source_id b FROM source_relations
@@ -33,9 +66,12 @@ SELECT s AS source_id, min(t) AS group_id FROM r GROUP BY s
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_consensus": p1_consensus,
+        "p1_records": p1_records,
         "p5_found": p5_found,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_SQL}
+    return {"p1_found": P1_SQL, "p5_found": P5_SQL}
