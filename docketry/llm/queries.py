@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import components, consensus
+from docketry.llm import chosen_path, components, consensus
 from docketry.sources.tables import table
 
 #: Relation types that state that two sources are the same record (fixed values).
 MATCH_TYPES = ("historicalversionof", "duplicateof", "samerecordas")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of different units that are alike but for small edits."""
+    rows = table(spark, sf_dir, "evidence_segments", "segment_id", "evidence_id", "normalized_text")
+    return chosen_path.similar_records(rows, "segment_id", "evidence_id", "normalized_text", size=3, threshold=0.6)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group identifier of every source at either end of a match relation."""
     edges = table(spark, sf_dir, "source_relations", "source_id", "related_source_id", "relation_type").where(components.spelled(F.col("relation_type")).isin(*MATCH_TYPES))
@@ -69,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": p1_found,
         "p1_consensus": p1_consensus,
         "p1_records": p1_records,
+        "p4_found": p4_found,
         "p5_found": p5_found,
     }
 
