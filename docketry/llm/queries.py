@@ -7,13 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import chosen_path, components, consensus
+from docketry.llm import chosen_path, components, consensus, spans
 from docketry.sources.tables import table
 
 #: Relation types that state that two sources are the same record (fixed values).
 MATCH_TYPES = ("historicalversionof", "duplicateof", "samerecordas")
 
 
+def _spans(spark: SparkSession, sf_dir: str) -> spans.SharedSpans:
+    read = table(spark, sf_dir, "evidence_extractions", "extraction_id", "evidence_id", "extracted_text").toDF("record_id", "evidence_id", "text")
+    cut_out = table(spark, sf_dir, "evidence_segments", "segment_id", "evidence_id", "raw_text").toDF("record_id", "evidence_id", "text")
+    return spans.SharedSpans(read.unionByName(cut_out), "record_id", "evidence_id", "text")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings and segments with a run of 200 characters that also stands in those of another unit."""
+    return _spans(spark, sf_dir).records()
+
+
+def p3_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each such record stands elsewhere too."""
+    return _spans(spark, sf_dir).coverage()
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records linked through shared passages."""
+    return _spans(spark, sf_dir).groups()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of different units that are alike but for small edits."""
     rows = table(spark, sf_dir, "evidence_segments", "segment_id", "evidence_id", "normalized_text")
@@ -75,6 +96,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": p1_found,
         "p1_consensus": p1_consensus,
         "p1_records": p1_records,
+        "p3_found": p3_found,
+        "p3_shared": p3_shared,
+        "p3_groups": p3_groups,
         "p4_found": p4_found,
         "p5_found": p5_found,
     }
