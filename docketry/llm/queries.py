@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import chosen_path, components, consensus, spans
+from docketry.llm import chosen_path, components, consensus, personal, spans
 from docketry.sources.tables import table
 
 #: Relation types that state that two sources are the same record (fixed values).
@@ -69,6 +69,21 @@ def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.merged_readings(rows, "evidence_id", "extraction_id", *fields).join(p1_found(spark, sf_dir), ["evidence_id", "extraction_id"])
 
 
+#: Kinds of personal data that p9_found reports (fixed values).
+PII_KINDS = ("email", "phone", "id_number", "address", "name")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of personal data in the documents."""
+    found = personal.find(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+    return found.where(F.col("pii_kind").isin(*PII_KINDS)).select("doc_id", "pii_kind", "char_start")
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with typed placeholders in place of personal data."""
+    return personal.redact(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
 P1_SQL = r"""
 WITH m AS (
   SELECT evidence_id, extraction_id, max(extracted_text) t, max(quality_score) q, max(occurred_at) o
@@ -101,6 +116,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_groups": p3_groups,
         "p4_found": p4_found,
         "p5_found": p5_found,
+        "p9_found": p9_found,
+        "p9_redacted": p9_redacted,
     }
 
 
