@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import chosen_path, components, consensus, personal, spans
+from docketry.llm import chosen_path, components, consensus, personal, scanned, spans
 from docketry.sources.tables import table
 
 #: Relation types that state that two sources are the same record (fixed values).
@@ -69,6 +69,16 @@ def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.merged_readings(rows, "evidence_id", "extraction_id", *fields).join(p1_found(spark, sf_dir), ["evidence_id", "extraction_id"])
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which kinds of noise each reading holds."""
+    return scanned.noise(table(spark, sf_dir, "evidence_extractions", "extraction_id", "evidence_id", "extracted_text"), "extraction_id", "evidence_id", "extracted_text")
+
+
+def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reading as continuous paragraphs."""
+    return scanned.repaired(table(spark, sf_dir, "evidence_extractions", "extraction_id", "extracted_text"), "extraction_id", "extracted_text")
+
+
 #: Kinds of personal data that p9_found reports (fixed values).
 PII_KINDS = ("email", "phone", "id_number", "address", "name")
 
@@ -116,6 +126,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_groups": p3_groups,
         "p4_found": p4_found,
         "p5_found": p5_found,
+        "p6_found": p6_found,
+        "p6_repaired": p6_repaired,
         "p9_found": p9_found,
         "p9_redacted": p9_redacted,
     }
