@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import chosen_path, components, consensus, personal, scanned, spans
+from docketry.llm import chosen_path, components, consensus, mixing, packing, personal, scanned, spans, tokens
 from docketry.sources.tables import table
 
 #: Relation types that state that two sources are the same record (fixed values).
@@ -79,6 +79,28 @@ def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.repaired(table(spark, sf_dir, "evidence_extractions", "extraction_id", "extracted_text"), "extraction_id", "extracted_text")
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, or its pieces, in containers of each capacity."""
+    docs = tokens.sized(table(spark, sf_dir, "documents", "doc_id", "text"), "text")
+    return packing.packed(docs, table(spark, sf_dir, "pack_sizes"), "doc_id")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return packing.fill(p7_containers(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
+
+
+def p8_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used in each mix."""
+    docs = tokens.sized(table(spark, sf_dir, "documents", "doc_id", "source", "text"), "text")
+    return mixing.balanced(docs, table(spark, sf_dir, "mix_targets"), "doc_id")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token shares that each mix reaches, by source."""
+    return mixing.shares(p8_copies(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 #: Kinds of personal data that p9_found reports (fixed values).
 PII_KINDS = ("email", "phone", "id_number", "address", "name")
 
@@ -128,6 +150,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": p5_found,
         "p6_found": p6_found,
         "p6_repaired": p6_repaired,
+        "p7_containers": p7_containers,
+        "p7_fill": p7_fill,
+        "p8_copies": p8_copies,
+        "p8_shares": p8_shares,
         "p9_found": p9_found,
         "p9_redacted": p9_redacted,
     }
