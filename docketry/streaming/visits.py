@@ -1,0 +1,34 @@
+"""Visit states as a stream: the same answers as ``operators.changes.visit_states``, batch after batch."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+_OUT = "source string, at timestamp, seq long, artifact string, previous string, state string"
+
+
+def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    previous = state.get[0] if state.exists else None
+    rows = pd.concat(list(batches), ignore_index=True).sort_values(["at", "seq"], kind="stable")
+    before, states = [], []
+    for artifact in rows["artifact"]:
+        artifact = artifact if isinstance(artifact, str) else None
+        before.append(previous)
+        states.append("unavailable" if artifact is None else "new" if previous is None else "unchanged" if previous == artifact else "changed")
+        previous = artifact if artifact is not None else previous
+    state.update((previous,))
+    yield pd.DataFrame({"source": key[0], "at": rows["at"], "seq": rows["seq"], "artifact": rows["artifact"], "previous": before, "state": states})
+
+
+def visit_states_stream(visits: DataFrame) -> DataFrame:
+    """A streaming ``visits`` (source, at, seq, artifact) with ``previous`` and ``state``.
+
+    State is one artifact id per source and never expires. Visits of one batch are put in order; a visit
+    that arrives after a later one was processed is compared with that later one. There is no global
+    deduplication, so going back to an earlier artifact is reported each time.
+    """
+    return visits.groupBy("source").applyInPandasWithState(_advance, _OUT, "artifact string", "append", GroupStateTimeout.NoTimeout)
