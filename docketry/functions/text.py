@@ -24,9 +24,12 @@ def tokens(text: Column | str) -> Column:
 
 def shingles(text: Column | str, size: int) -> Column:
     """The set of runs of ``size`` tokens, each joined by blanks; empty for shorter texts."""
-    t = tokens(text)
-    runs = F.transform(F.sequence(F.lit(1), F.size(t) - size + 1), lambda i: F.array_join(F.slice(t, i, size), " "))
-    return F.when(F.size(t) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    def runs(t: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(t) - size + 1), lambda i: F.array_join(F.slice(t, i, size), " "))
+        return F.when(F.size(t) >= size, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+    # bound to a lambda's variable, the tokens are found once, not once for each run
+    return F.get(F.transform(F.array(tokens(text)), runs), F.lit(0))
 
 
 def jaccard(a: Column, b: Column) -> Column:

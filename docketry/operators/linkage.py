@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +25,11 @@ def references(evidence: DataFrame, text: str) -> DataFrame:
         "docket": (DOCKET, lambda r: F.concat(F.lit("D-"), squeezed(F.regexp_extract(r, DOCKET, 1)))),
         "ordinance": (ORDINANCE, lambda r: F.concat(F.lit("ORDINANCE-"), squeezed(F.regexp_extract(r, ORDINANCE, 1)))),
     }
-    every = [F.transform(spans(F.col(text), p), lambda m, k=k, n=n: F.struct(F.lit(k).alias("kind"), n(m["raw"]).alias("normalized_key"), m["raw"].alias("raw_text"), m["char_start"].alias("char_start"), m["char_end"].alias("char_end"))) for k, (p, n) in keys.items()]
+
+    def named(kind: str, norm) -> Callable[[Column], Column]:
+        return lambda m: F.struct(F.lit(kind).alias("kind"), norm(m["raw"]).alias("normalized_key"), m["raw"].alias("raw_text"), m["char_start"].alias("char_start"), m["char_end"].alias("char_end"))
+
+    every = [F.transform(spans(F.col(text), p), named(k, n)) for k, (p, n) in keys.items()]
     return evidence.select("evidence_id", F.explode(F.flatten(F.array(*every))).alias("r")).select("evidence_id", "r.*")
 
 

@@ -49,7 +49,6 @@ def search(index: LexicalIndex, query: str, limit: int) -> DataFrame:
     times: dict[str, int] = {}
     for t in query_terms(query):
         times[t] = times.get(t, 0) + 1
-    spark = index.postings.sparkSession
     wanted = F.create_map(*(x for t, n in times.items() for x in (F.lit(t), F.lit(n))))
     hits = index.postings.where(F.col("term").isin(*times))
     df = hits.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(index.totals))
@@ -57,7 +56,6 @@ def search(index: LexicalIndex, query: str, limit: int) -> DataFrame:
     weights = df.select("term", "avgdl", (F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF)) * F.element_at(wanted, F.col("term"))).alias("w"))
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.join(F.broadcast(weights), "term").join(index.sizes, "id").groupBy("id").agg(F.count("*").alias("n"), F.sum(part).alias("s"))
-    del spark
     return scored.where(F.col("n") == len(times)).select("id", (-F.col("s")).alias("score")).orderBy("score", "id").limit(limit)
 
 

@@ -32,10 +32,11 @@ def cut_segments(evidence: DataFrame, text: str, rules: list[Rule], version: str
     out = None
     for r in rules:
         rows = evidence.where(F.exists("source_names", lambda n, r=r: n.rlike(r.source_name_regex)))
-        at = spans(F.col(text), r.anchor_regex)
+        rows = rows.withColumn("at", spans(F.col(text), r.anchor_regex))
+        at = F.col("at")
         # an anchor's segment ends where the next one starts
         ends = F.concat(F.transform(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), lambda a: a["char_start"]), F.array(F.length(text)))
-        both = F.arrays_zip(at.alias("a"), ends.alias("e"))
+        both = F.zip_with(at, ends, lambda a, e: F.struct(a.alias("a"), e.alias("e")))
         hit = rows.where(F.size(at) > 0).select("evidence_id", text, F.explode(both).alias("z")).select("evidence_id", text, F.col("z.a").alias("a"), F.col("z.e").alias("e"))
         raw = hit.withColumn("raw", F.expr(f"substring({text}, a.char_start + 1, e - a.char_start)"))
         lead = F.length("raw") - F.length(F.regexp_replace("raw", r"(?U)^\s+", ""))

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from docketry.plans import analytics, evidence, indexes, quantities, visits  # noqa: F401 - importing registers
+from docketry.plans.registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-from docketry.plans import quantities
+def flagship(spark, sf_dir: str):
+    """Largest money amounts with their provenance."""
+    return QUERIES["amounts_range"](spark, sf_dir)
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["amounts_range"](spark, sf_dir)
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": quantities.p2_found, "p2_unit_shifts": quantities.p2_unit_shifts}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES) | {"p2_found": quantities.p2_found, "p2_unit_shifts": quantities.p2_unit_shifts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -21,7 +21,7 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         states.append("unavailable" if artifact is None else "new" if previous is None else "unchanged" if previous == artifact else "changed")
         previous = artifact if artifact is not None else previous
     state.update((previous,))
-    yield pd.DataFrame({"source": key[0], "at": rows["at"], "seq": rows["seq"], "artifact": rows["artifact"], "previous": before, "state": states})
+    yield pd.DataFrame({"source": key[0], "at": rows["at"], "seq": rows["seq"], "artifact": rows["artifact"].astype(object), "previous": pd.Series(before, dtype=object), "state": states})
 
 
 def visit_states_stream(visits: DataFrame) -> DataFrame:
