@@ -218,10 +218,12 @@ def similar_records(rows: DataFrame, key: str, group: str, text: str, size: int,
     Equal texts are one class, compared once. A class of up to ``COPIES`` records is listed pair by pair;
     in a larger one every record is paired with the class's first record, or if that has the same group,
     with the first record of another; to other classes it is represented by its first record. Rows with a
-    null key, group or text are ignored, repeated rows count once.
+    null key, group or text, and texts of fewer than ``size`` tokens, which have no runs to share, are
+    ignored; repeated rows count once.
     """
     rows = rows.select(F.col(key).alias("key"), F.col(group).alias("grp"), F.col(text).alias("text")).where("key is not null and grp is not null and text is not null")
-    rows = rows.withColumn("class", F.unhex(F.md5("text")))
+    enough = rf"(?:[a-z0-9]+[^a-z0-9]+){{{size - 1}}}[a-z0-9]"
+    rows = rows.where(F.col("text").rlike(enough)).withColumn("class", F.unhex(F.md5("text")))
     members = rows.select("class", "key", "grp").distinct()
     classes = cut(rows.groupBy("class").agg(F.max("text").alias("text")).withColumn("id", F.monotonically_increasing_id()))
     near = similar_texts(classes, size, threshold, trees).select("a", "b")

@@ -239,34 +239,40 @@ def _mend(known: dict[str, int]):
 
 
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines of each reading that are neither page number nor running head."""
+    """Lines of each reading that are neither page number nor sure running head; with its title, if one may be a head."""
     for batch in batches:
-        keys, places, lines = [], [], []
+        keys, places, lines, titles = [], [], [], []
         for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
             own = _lines(text)
             full = [x for x in own if x]
             at = -1
             for place, line in enumerate(own):
                 at += bool(line)
-                if line and (page_number(line) or (h := head(line)) and (h[2] or _alone(full, at, h[0]))):
+                h = head(line) if line else None
+                if line and (page_number(line) or h and (h[2] or _alone(full, at, h[0]))):
                     continue
+                titles.append(skeleton(h[0]) if h else None)
                 keys.append(key)
                 places.append(place)
                 lines.append(line)
-        yield pa.record_batch({"key": pa.array(keys, pa.string()), "place": pa.array(places, pa.int32()), "line": pa.array(lines, pa.string())})
+        yield pa.record_batch({"key": pa.array(keys, pa.string()), "place": pa.array(places, pa.int32()), "line": pa.array(lines, pa.string()), "title": pa.array(titles, pa.string())})
 
 
 def repaired(readings: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text): every reading as continuous paragraphs, one per line.
 
-    Page numbers and running heads go, words broken over a line end are joined, misread words and digits
+    Page numbers and running heads go (lines in the shape of a head where they mark one, stand alone or
+    recur in another reading), words broken over a line end are joined, misread words and digits
     take the form that the corpus supports, and lines are reflowed by SQL windows over each reading's lines:
     a blank line, or the end of a sentence before a line that starts a new item, ends a paragraph.
     """
     rows = readings.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null").groupBy("key").agg(F.max("text").alias("text"))
     known = known_words(rows)
     w = Window.partitionBy("key").orderBy("place")
-    lines = rows.mapInArrow(_drop, "key string, place int, line string")
+    every = cut(rows.mapInArrow(_drop, "key string, place int, line string, title string"))
+    doubtful = every.where("title is not null")
+    known_titles = doubtful.groupBy("title").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("title")
+    lines = every.where("title is null").unionByName(doubtful.join(known_titles, "title", "left_anti")).drop("title")
     full = lines.withColumn("blank", F.col("line") == "").withColumn("gap", F.lag("blank", 1, False).over(w)).where("not blank")
     before = F.lag("line").over(w)
     starts = F.col("gap") & before.rlike(r"[.!?:]$|\d$") | (before.rlike(r"[.!?]$|^\S+ (No\. )?\d") & F.col("line").rlike(r"^(?i)(ordinance|resolution|item|ord\.|res\.)\s"))

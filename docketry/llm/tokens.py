@@ -38,6 +38,6 @@ def _count(path: str):
 
 def sized(docs: DataFrame, text: str, path: str | None = None) -> DataFrame:
     """``docs`` with ``n_tokens`` in the place of the text; rows with a null text are dropped, an empty one has 0."""
-    rows = docs.where(F.col(text).isNotNull()).select(*(c for c in docs.columns if c != text), F.col(text).alias("text"))
+    rows = docs.where(F.col(text).isNotNull()).select(*(c for c in docs.columns if c not in (text, "text", "n_tokens")), F.col(text).alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
     return rows.mapInArrow(_count(path or f"{FOLDER}/{VOCABULARY}"), f"{schema}, n_tokens int")
