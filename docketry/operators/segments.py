@@ -31,7 +31,8 @@ def cut_segments(evidence: DataFrame, text: str, rules: list[Rule], version: str
     """
     out = None
     for r in rules:
-        rows = evidence.where(F.exists("source_names", lambda n, r=r: n.rlike(r.source_name_regex)))
+        names = r.source_name_regex
+        rows = evidence.where(F.exists("source_names", lambda n: n.rlike(names)))  # noqa: B023 - called at once
         rows = rows.withColumn("at", spans(F.col(text), r.anchor_regex))
         at = F.col("at")
         # an anchor's segment ends where the next one starts
