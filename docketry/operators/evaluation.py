@@ -37,7 +37,7 @@ def metrics(results: DataFrame) -> DataFrame:
     aggs = [
         F.count("*").alias("cases"),
         F.avg(F.when(positive, (F.col("found") > 0).cast("int"))).alias("hit_rate"),
-        (F.sum(F.when(positive, F.col("found"))) / F.sum(F.when(positive, F.col("targets")))).alias("target_recall"),
+        F.try_divide(F.sum(F.when(positive, F.col("found"))), F.sum(F.when(positive, F.col("targets")))).alias("target_recall"),
         F.avg(F.when(negative, (F.col("returned") == 0).cast("int"))).alias("negative_accuracy"),
     ]
     return results.rollup("mode").agg(*aggs).withColumn("mode", F.coalesce("mode", F.lit("all")))

@@ -61,9 +61,9 @@ def resolved_keys(segments: DataFrame, text: str, key: str, rules: list[KeyRule]
             reasons.append(F.when(F.size(found) == 0, F.lit(f"missing:{r.role}")))
     why = F.array_compact(F.array(*reasons))
     parts = [F.concat(F.lit(f"{r.role}="), F.coalesce(F.get(v, F.lit(0)), F.lit(""))) for r, v in values]
-    status = F.when(F.exists("why", lambda x: x.startswith("ambiguous")), "ambiguous").when(F.size("why") > 0, "insufficient").otherwise("resolved")
-    out = segments.where(F.col(text).isNotNull()).select(F.col(key), why.alias("why"), stable_id("matter", *parts).alias("k"))
-    return out.select(key, status.alias("status"), F.array_join("why", ",").alias("reasons"), F.when(F.size("why") == 0, F.col("k")).alias("matter_key"))
+    status = F.when(F.exists("_why", lambda x: x.startswith("ambiguous")), "ambiguous").when(F.size("_why") > 0, "insufficient").otherwise("resolved")
+    out = segments.where(F.col(text).isNotNull()).select(F.col(key), why.alias("_why"), stable_id("matter", *parts).alias("_id"))
+    return out.select(key, status.alias("status"), F.array_join("_why", ",").alias("reasons"), F.when(F.size("_why") == 0, F.col("_id")).alias("matter_key"))
 
 
 def populations(values: DataFrame, by: list[str], value: str, unit: str) -> DataFrame:

@@ -33,7 +33,7 @@ def sniffed(content: Column) -> Column:
     out = F.when(F.lit(False), "")
     for bytes_, media in MAGIC:
         out = out.when(head.startswith(bytes_), media)
-    text = F.lower(F.ltrim(F.decode(F.substring(content, 1, 256), "UTF-8")))
+    text = F.lower(F.ltrim(F.decode(F.substring(content, 1, 256), "ISO-8859-1")))
     return out.when(text.startswith("<!doctype html") | text.startswith("<html"), "text/html")
 
 
