@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions.text import index_terms
+from docketry.session import cut
 
 #: BM25's constants (fixed values).
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -24,19 +25,21 @@ def query_terms(query: str) -> list[str]:
 
 @dataclass
 class LexicalIndex:
-    """Postings (term, id, tf), sizes (id, dl) and totals (n_docs, avgdl) of a set of texts."""
+    """Postings (term, id, dl, tf) with each document's size, and totals (n_docs, avgdl), of a set of texts."""
 
     postings: DataFrame
-    sizes: DataFrame
     totals: DataFrame
 
+    def written(self) -> LexicalIndex:
+        """The index as tables in the shared checkpoint folder, for many searches."""
+        return LexicalIndex(cut(self.postings), cut(self.totals))
+
 
 def build(docs: DataFrame, key: str, text: str) -> LexicalIndex:
     """Index of all non-blank texts; one row per term and document, counted where the document lies."""
     rows = docs.where(F.trim(text) != "").select(F.col(key).alias("id"), index_terms(text).alias("terms"))
-    postings = rows.select("id", F.explode("terms").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
-    sizes = rows.select("id", F.size("terms").alias("dl"))
-    return LexicalIndex(postings, sizes, sizes.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")))
+    postings = rows.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    return LexicalIndex(postings, rows.agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avgdl")))
 
 
 def search(index: LexicalIndex, query: str, limit: int) -> DataFrame:
@@ -50,12 +53,13 @@ def search(index: LexicalIndex, query: str, limit: int) -> DataFrame:
     for t in query_terms(query):
         times[t] = times.get(t, 0) + 1
     wanted = F.create_map(*(x for t, n in times.items() for x in (F.lit(t), F.lit(n))))
-    hits = index.postings.where(F.col("term").isin(*times))
+    # read twice, for the terms' frequencies and for the scores
+    hits = cut(index.postings.where(F.col("term").isin(*times)))
     df = hits.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(index.totals))
     raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = df.select("term", "avgdl", (F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF)) * F.element_at(wanted, F.col("term"))).alias("w"))
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(F.broadcast(weights), "term").join(index.sizes, "id").groupBy("id").agg(F.count("*").alias("n"), F.sum(part).alias("s"))
+    scored = hits.join(F.broadcast(weights), "term").groupBy("id").agg(F.count("*").alias("n"), F.sum(part).alias("s"))
     return scored.where(F.col("n") == len(times)).select("id", (-F.col("s")).alias("score")).orderBy("score", "id").limit(limit)
 
 

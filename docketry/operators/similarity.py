@@ -52,16 +52,17 @@ def near_duplicates(occurrences: DataFrame, size: int, threshold: float, least_s
     occurrences; the cap is part of the definition: commoner shingles propose no pair but count in the
     similarity. Pairs come from buckets of bounded size, so no bucket can grow hot.
     """
-    sets = occurrences.select("id", "family", shingles("text", size).alias("s")).where(F.size("s") > 0)
-    posts = sets.select("id", "family", F.explode("s").alias("t")).select("id", "family", F.xxhash64("t").alias("t"))
-    rare = posts.groupBy("t").agg(F.count("*").alias("n")).where(F.col("n").between(2, most_frequent)).select("t")
+    hashed = F.transform(shingles("text", size), lambda x: F.xxhash64(x))
+    sets = cut(occurrences.select("id", "family", hashed.alias("s")).where(F.size("s") > 0).withColumn("n", F.monotonically_increasing_id()))
+    posts = sets.select("n", F.xxhash64("family").alias("f"), F.explode("s").alias("t"))
+    rare = posts.groupBy("t").agg(F.count("*").alias("c")).where(F.col("c").between(2, most_frequent)).select("t")
     kept = posts.join(rare, "t")
-    other = kept.select("t", F.col("id").alias("b"), F.col("family").alias("fb"))
-    pairs = kept.withColumnsRenamed({"id": "a", "family": "fa"}).join(other, "t").where("a < b and fa <> fb").groupBy("a", "b").agg(F.count("*").alias("bucket_shared")).where(F.col("bucket_shared") >= least_shared)
-    one, two = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(one, "a").join(two, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-    ratio = F.col("shared") / (F.size("sa") + F.size("sb") - F.col("shared"))
-    return both.select("a", "b", F.col("shared").cast("long").alias("shared"), ratio.alias("similarity")).where(F.col("similarity") >= threshold)
+    other = kept.select("t", F.col("n").alias("nb"), F.col("f").alias("fb"))
+    pairs = kept.join(other, "t").where("n < nb and f <> fb").groupBy("n", "nb").agg(F.count("*").alias("c")).where(F.col("c") >= least_shared).select("n", "nb")
+    right = sets.select(F.col("n").alias("nb"), F.col("id").alias("id_b"), F.col("s").alias("sb"))
+    both = pairs.join(sets.select("n", "id", "s"), "n").join(right, "nb").withColumn("shared", F.size(F.array_intersect("s", "sb")))
+    ratio = F.col("shared") / (F.size("s") + F.size("sb") - F.col("shared"))
+    return both.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b"), F.col("shared").cast("long").alias("shared"), ratio.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def span_facts(segments: DataFrame, facts: DataFrame) -> DataFrame:
