@@ -34,7 +34,8 @@ _HYPHEN = "-¬­‐"
 _BROKEN = re.compile(rf"(?<=[^\W\d_])[{_HYPHEN}][ \t]*\n\s*(?=\S)")
 _NUMBER = rf"[\d{DIGIT_LETTERS}]{{1,5}}"
 _OF = rf"(?:\s*(?:of|/)\s*{_NUMBER})?"
-_OWN = re.compile(rf"(?:[-–—\[(|]\s*)?(?:(?:page|pg\.?|p\.)\s*{_NUMBER}{_OF}|(?=[^\n]*\d){_NUMBER}{_OF}|[ivx]{{1,5}})(?:\s*[-–—\])|])?", re.IGNORECASE)
+_ROMAN = r"c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
+_OWN = re.compile(rf"(?:[-–—\[(|]\s*)?(?:(?:page|pg\.?|p\.)\s*{_NUMBER}{_OF}|(?=[^\n]*\d){_NUMBER}{_OF}|(?=[ivxlc]){_ROMAN})(?:\s*[-–—\])|])?", re.IGNORECASE)
 _PAGE_END = re.compile(rf"[\s|,·–—-]+(?:page|pg\.?|p\.)\s*{_NUMBER}{_OF}\s*$", re.IGNORECASE)
 _PAGE_START = re.compile(rf"^(?:page|pg\.?|p\.)\s*{_NUMBER}{_OF}[\s|,·–—-]+", re.IGNORECASE)
 _CONTINUED = re.compile(r"\s*\((?:cont\.?|cont'd|continued)\)\s*$", re.IGNORECASE)
@@ -151,7 +152,7 @@ class Reader:
         if numbers_misread(flow):
             return True
         seen = set(_WORD.findall(flow))
-        if flow and flow.rstrip()[-1:].isalnum() and len(flow) > 200:  # the last word may be cut off
+        if flow.rstrip()[-1:].isalnum():  # the last word may be cut off
             seen.discard((_WORD.findall(flow[-40:]) or [""])[-1])
         return any(self.right(w) for w in seen)
 

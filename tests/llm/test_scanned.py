@@ -47,6 +47,11 @@ def test_repair(spark):
     assert out["p3"] == out["p3"].strip() and PLAIN in out["p3"]
 
 
+def test_page_numbers():
+    assert all(scanned.page_number(x) for x in ("12", "- 3 -", "—9—", "[4]", "Page 7 of 12", "pg 9", "p. 4", "xlvi", "iii", "Page l2"))
+    assert not any(scanned.page_number(x) for x in ("civil", "lot 12.", "9-9.", "12.", "I am", "page 9 of the report.", "Docket 2020.1", ""))
+
+
 def test_numbers():
     assert scanned.numbers_misread("lot 26B72 and") and scanned.numbers_misread("$2S7,534") and scanned.numbers_misread("2O26-01-01")
     assert not scanned.numbers_misread("File 59810-B21 for $2.66B and USD 3B, 4,043 L")
