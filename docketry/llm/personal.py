@@ -52,7 +52,7 @@ _HYPHENED = re.compile(rf"{_CAP}(?:-{_CAP})+")
 _TITLED = re.compile(rf"\b(?:M(?:rs?|s|x|iss)|Dr|Prof|Rev|Hon|(?:[Ee]l|[Ll]a|[Aa]l)\s(?:[Ss]r|[Ss]ra|[Ss]rta)|[Ss]eñor(?:a|ita)?|[Dd]oña|[Dd]on)\b\.?{_SPACE}+(?=[A-ZÀ-Þ])")
 _AFTER_TITLE = re.compile(rf"(?:(?:{_CAP}|[A-Z]\.){_SPACE})?(?:[A-Z]\.{_SPACE})?{_SURNAME}{_SUFFIX}")
 _SUR_ONLY = re.compile(rf"{_SURNAME}{_SUFFIX}")
-_INITIAL = re.compile(rf"(?<![\w.'’&-])(?<!\d )(?<!\d )(?<!Unit )(?<!Apt )(?<!Suite )(?<!Apt\. )(?:[^\W\d_a-z]\.{_SPACE}?){{1,2}}(?<=[  ]){_SURNAME}{_SUFFIX}")
+_INITIAL = re.compile(rf"(?<![\w.'’&])(?<!\w-)(?<!\d )(?<!\d )(?<!Unit )(?<!Apt )(?<!Suite )(?<!Apt\. )(?:[^\W\d_a-z]\.{_SPACE}?){{1,2}}(?<=[  ]){_SURNAME}{_SUFFIX}")
 _NAME_CUE = re.compile(
     r"(?:\bdear|\bsigned,|\bfrom:|\bapplicant:|\bapplicant|\btenant|\battention|\bcouncil ?member|\bcouncil(?:wo)?man|\bsubmitted by|\bpresentado por|\bfirmado:|\bsolicitante|"
     r"\binspector|\bmy name is|\bavisos a|\bwidow of|\bthe home of|\bis owed to|\baccording to|\bthe dog of|\bpetition lists|\bat the counter by|\bcomplaint, which|\bwitness(?:es)?:?|\bthanks,? ?-|\bpayee|\bheirs?:|\broll call:)\s*-?$",

@@ -20,6 +20,8 @@ CASES = [
     ("Driver's licence VB912377, state ID card VK354454, pasaporte X08816517; Docket 2020.55862", [("id_number", "VB912377"), ("id_number", "VK354454"), ("id_number", "X08816517")]),
     ("card 4111 1111 1111 1111 and 4111 1111 1111 1112; GB82 WEST 1234 5698 7654 32", [("card", "4111 1111 1111 1111"), ("iban", "GB82 WEST 1234 5698 7654 32")]),
     ("José del Heltus and Aaron van Lornmont were sworn before Victor & Sons", [("name", "José del Heltus"), ("name", "Aaron van Lornmont")]),
+    ("thanks -D. Harna / 961 555 0130", [("name", "D. Harna"), ("phone", "961 555 0130")]),
+    ("holds 4,043 L. Crews came to Unit A. Renewing it", []),
     ("the Felix Park shelter and Rosa Library by Horlkwick Bellkora Engineering", []),
 ]
 
