@@ -33,6 +33,35 @@ def references(evidence: DataFrame, text: str) -> DataFrame:
     return evidence.select("evidence_id", F.explode(F.flatten(F.array(*every))).alias("r")).select("evidence_id", "r.*")
 
 
+#: Patterns of dates in running text (fixed values); a month's year may be missing.
+NUMERIC_DATE = r"\b(0?[1-9]|1[0-2])/(0?[1-9]|[12]\d|3[01])/(\d{4}|\d{2})\b"
+_MONTHS = "january february march april may june july august september october november december".split()
+MONTH_DATE = r"(?i)\b(" + "|".join([*_MONTHS, *(m[:3] for m in _MONTHS)]) + r")\s+(\d{1,2})(?:st|nd|rd|th)?(?:,?\s+(\d{4}))?\b"
+
+
+def date_references(evidence: DataFrame, text: str, context_date: str) -> DataFrame:
+    """(evidence_id, normalized_key, raw_text, char_start, char_end, basis): dates, two-digit years being 20yy.
+
+    A month and day without a year take the year of ``context_date`` (a date column), where it is known.
+    Days that no month has are no dates. Dates alone link no records.
+    """
+    day = lambda y, m, d: F.to_date(F.try_to_timestamp(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), F.lit("yyyy-MM-dd")))
+
+    def numeric(m: Column) -> Column:
+        g = lambda k: F.regexp_extract(m["raw"], NUMERIC_DATE, k)
+        year = F.when(F.length(g(3)) == 2, F.concat(F.lit("20"), g(3))).otherwise(g(3))
+        return F.struct(day(year, g(1), g(2)).cast("string").alias("normalized_key"), m["raw"].alias("raw_text"), m["char_start"].alias("char_start"), m["char_end"].alias("char_end"), F.lit("literal_date").alias("basis"))
+
+    def worded(m: Column) -> Column:
+        g = lambda k: F.regexp_extract(m["raw"], MONTH_DATE, k)
+        month = F.array_position(F.array(*(F.lit(x[:3]) for x in _MONTHS)), F.lower(F.left(g(1), F.lit(3)))).cast("string")
+        year = F.when(g(3) != "", g(3)).otherwise(F.date_format(context_date, "yyyy"))
+        return F.struct(day(year, month, g(2)).cast("string").alias("normalized_key"), m["raw"].alias("raw_text"), m["char_start"].alias("char_start"), m["char_end"].alias("char_end"), F.when(g(3) != "", "literal_date").otherwise("context_year").alias("basis"))
+
+    found = F.concat(F.transform(spans(F.col(text), NUMERIC_DATE), numeric), F.transform(spans(F.col(text), MONTH_DATE), worded))
+    return evidence.select("evidence_id", F.explode(found).alias("r")).where("r.normalized_key is not null").select("evidence_id", "r.*")
+
+
 def key_matches(found: DataFrame, kind: str, key: str, unit: str, least: int = 2) -> DataFrame:
     """(kind, key, units): keys that stand in ``least`` units or more."""
     return found.groupBy(kind, key).agg(F.count_distinct(unit).alias("units")).where(F.col("units") >= least)
