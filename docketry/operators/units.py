@@ -12,11 +12,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketry.functions import quantities
+from docketry.session import cut
+
+
+#: Blocks whose segments are searched again together.
+FAN = 64
 
 
 @F.pandas_udf(T.StructType([T.StructField("number", T.DoubleType()), T.StructField("unit", T.StringType())]))
@@ -97,39 +102,48 @@ def _by_block(penalty: float):
     return run
 
 
-def _by_series(penalty: float, factors: list[float], tolerance: float):
-    logs = np.log(np.array(sorted({f for f in factors if f > 0 and f != 1})))
+_PARTS = "series string, block long, part int, first_at string, last_at string, n long, total double, square double, noise double"
+
+
+def _merge(penalty: float):
+    """Segments of neighbouring blocks searched again as weighted points, so a shift at a block's edge is no artefact."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for series, parts in zip(pdf["series"], pdf["parts"]):
+            for series, block, parts in zip(pdf["series"], pdf["block"], pdf["parts"]):
                 w, s, q = (np.array([p[k] for p in parts], dtype=float) for k in ("n", "total", "square"))
                 noise = float(np.average([p["noise"] for p in parts], weights=w))
-                start, found = 0, []
+                start = 0
                 for end in optimal_segments(w, s, q, penalty * noise * math.log(max(w.sum(), 2))):
-                    found.append((start, end, w[start:end].sum(), s[start:end].sum() / w[start:end].sum()))
+                    out.append((series, block, start, parts[start]["first_at"], parts[end - 1]["last_at"], int(w[start:end].sum()), float(s[start:end].sum()), float(q[start:end].sum()), noise))
                     start = end
-                level = max(found, key=lambda f: (f[2], -f[0]))[3]
-                for k, (a, b, n, mean) in enumerate(found):
-                    shift, factor = mean - level, 1.0
-                    if len(logs):
-                        nearest = logs[np.argmin(np.abs(logs - shift))]
-                        if abs(nearest - shift) <= tolerance and abs(shift) > tolerance:
-                            factor = float(np.exp(nearest))
-                    out.append((series, k, parts[a]["first_at"], parts[b - 1]["last_at"], int(n), float(mean), factor))
-            yield pd.DataFrame(out, columns=["series", "segment", "first_at", "last_at", "n", "mean_log", "factor"])
+            yield pd.DataFrame(out, columns=["series", "block", "part", "first_at", "last_at", "n", "total", "square", "noise"])
 
     return run
 
 
+def _labelled(parts: DataFrame, factors: list[float], tolerance: float) -> DataFrame:
+    """Segments with the known factor between their level and that of the series' longest segment."""
+    mean = F.col("total") / F.col("n")
+    level = parts.groupBy("series").agg(F.max_by(mean, F.struct("n", (-F.col("block")).alias("b"), (-F.col("part")).alias("p"))).alias("level"))
+    number = F.row_number().over(Window.partitionBy("series").orderBy("block", "part")) - 1
+    rows = parts.join(level, "series").withColumn("mean_log", mean).withColumn("shift", mean - F.col("level")).withColumn("segment", number)
+    factor = F.lit(1.0)
+    if known := sorted({math.log(f) for f in factors if f > 0 and f != 1}):
+        near = F.array_min(F.array(*(F.struct(F.abs(F.col("shift") - x).alias("far"), F.lit(x).alias("log")) for x in known)))
+        factor = F.when((near["far"] <= tolerance) & (F.abs("shift") > tolerance), F.exp(near["log"])).otherwise(factor)
+    return rows.select("series", "segment", "first_at", "last_at", "n", "mean_log", factor.alias("factor"))
+
+
 def unit_shifts(history: DataFrame, factors: list[float], penalty: float = 3.0, tolerance: float = 0.12, block: int = 512) -> DataFrame:
     """(series, segment, first_at, last_at, n, mean_log, factor) of each series' history of positive values.
 
     ``history`` has series, at (string, its order), place (long, the order's coarse position, by which long
     histories are divided) and value. Exact penalised changepoint search (least squares on log values)
-    runs in every block of ``block`` places, then again over the segments found, so a shift at a block's
-    edge is kept or dropped by the same rule and no task gets a whole hot series. The level with most
+    runs in every block of ``block`` places, then again over the segments of ``FAN`` neighbouring blocks, and
+    so on, so a shift at a block's edge is kept or dropped by the same rule and no task gets a whole hot
+    series. The level with most
     observations is the series' own; a segment whose level differs from it by a known factor was recorded
     in another unit: dividing its values by ``factor`` reverses that. ``factor`` is 1 elsewhere.
 
@@ -140,6 +154,11 @@ def unit_shifts(history: DataFrame, factors: list[float], penalty: float = 3.0,
         "series", F.floor(F.col("place") / block).cast("long").alias("block"), F.struct("at", F.log("value").alias("x")).alias("p")
     )
     blocks = points.groupBy("series", "block").agg(F.sort_array(F.collect_list("p")).alias("points"))
-    parts = blocks.mapInPandas(_by_block(penalty), "series string, block long, part int, first_at string, last_at string, n int, total double, square double, noise double")
-    whole = parts.groupBy("series").agg(F.sort_array(F.collect_list(F.struct("block", "part", "first_at", "last_at", "n", "total", "square", "noise"))).alias("parts"))
-    return whole.mapInPandas(_by_series(penalty, factors, tolerance), "series string, segment int, first_at string, last_at string, n int, mean_log double, factor double")
+    parts = cut(blocks.mapInPandas(_by_block(penalty), _PARTS))
+    lo, hi = parts.agg(F.min("block"), F.max("block")).first()
+    parts, steps = parts.withColumn("block", F.col("block") - F.lit(lo or 0)), (hi or 0) - (lo or 0)
+    while steps:
+        member = F.struct("block", "part", "first_at", "last_at", "n", "total", "square", "noise")
+        wider = parts.groupBy("series", F.floor(F.col("block") / FAN).cast("long").alias("wide")).agg(F.sort_array(F.collect_list(member)).alias("parts"))
+        parts, steps = cut(wider.select("series", F.col("wide").alias("block"), "parts").mapInPandas(_merge(penalty), _PARTS)), steps // FAN
+    return _labelled(parts, factors, tolerance)

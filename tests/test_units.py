@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from docketry.operators import units
@@ -36,13 +37,14 @@ def test_segments_are_optimal():
         assert abs(cost(x, ends[:-1], 0.8) - best) < 1e-9 and ends[-1] == len(x)
 
 
-def test_unit_shift_is_found_across_blocks(spark):
+@pytest.mark.parametrize("block", [512, 20])
+def test_unit_shift_is_found_across_blocks(spark, block):
     rnd = np.random.default_rng(2)
     value = np.exp(rnd.normal(8, 0.05, 1500))
     value[600:1000] /= 1000
     rows = [("s", f"{i:06d}", i, float(v)) for i, v in enumerate(value)] + [("s", "999999", 10**6, None), ("t", "000001", 1, 5.0), ("t", "000002", 2, -1.0), (None, "1", 1, 1.0)]
     history = spark.createDataFrame(rows, "series string, at string, place long, value double")
-    got = sorted((r["series"], r["first_at"], r["last_at"], r["n"], r["factor"]) for r in units.unit_shifts(history, [1000.0, 1e-3, 10.0]).collect())
+    got = sorted((r["series"], r["first_at"], r["last_at"], r["n"], r["factor"]) for r in units.unit_shifts(history, [1000.0, 1e-3, 10.0], block=block).collect())
     assert [(s, a, b, n) for s, a, b, n, _ in got] == [("s", "000000", "000599", 600), ("s", "000600", "000999", 400), ("s", "001000", "001499", 500), ("t", "000001", "000001", 1)]
     assert [round(f, 6) for *_, f in got] == [1, 0.001, 1, 1]
     assert units.unit_shifts(history.limit(0), [10.0]).count() == 0
