@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,7 +15,7 @@ _written: set[str] = set()
 
 def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "docketry") -> SparkSession:
     """A session for one machine; on a cluster the caller brings its own."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -25,6 +27,8 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "docket
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -41,6 +45,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per session: their Python workers need not have it installed.
+
+    Reading a table by name does so; with frames of another origin call it before the first operator.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_docketry_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="docketry-package-")) / "docketry.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sc._docketry_shipped = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it from there.
 
