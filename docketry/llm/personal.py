@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,8 +48,8 @@ _SUFFIX = rf"(?:,?{_SPACE}(?:Sr|Jr|SR|JR)\b\.?|{_SPACE}(?:III|II|IV)\b)?"
 _AFTER_GIVEN = re.compile(rf"(?:-{_CAP})?(?:{_SPACE}[^\W\d_a-z]\.)*{_SPACE}{_SURNAME}{_SUFFIX}")
 _GIVEN_SECOND = re.compile(rf"(?:{_SPACE}[^\W\d_a-z]\.)*(?={_SPACE}*[;,.)\n]|{_SPACE}+[a-zñ]|$)")
 _WORD = re.compile(_CAP)
+_LAST_FIRST = re.compile(rf"(?<![\w'’-])({_CAP}(?:-{_CAP})*),.$", re.DOTALL)
 _NEXT = re.compile(rf"{_SPACE}(?:&{_SPACE}\w+|({_CAP}))")
-_HYPHENED = re.compile(rf"{_CAP}(?:-{_CAP})+")
 _TITLED = re.compile(rf"\b(?:M(?:rs?|s|x|iss)|Dr|Prof|Rev|Hon|(?:[Ee]l|[Ll]a|[Aa]l)\s(?:[Ss]r|[Ss]ra|[Ss]rta)|[Ss]eñor(?:a|ita)?|[Dd]oña|[Dd]on)\b\.?{_SPACE}+(?=[A-ZÀ-Þ])")
 _AFTER_TITLE = re.compile(rf"(?:(?:{_CAP}|[A-Z]\.){_SPACE})?(?:[A-Z]\.{_SPACE})?{_SURNAME}{_SUFFIX}")
 _SUR_ONLY = re.compile(rf"{_SURNAME}{_SUFFIX}")
@@ -74,7 +75,7 @@ _DIGITS = re.compile(
     r"(?<![\w.,/$#+-])(?:(?P<phone>(?:\+?1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}|(?:1[ .-])?\d{3}(?P<p>[ .-])\d{3}(?P=p)\d{4})"
     r"|(?P<ssn>\d{3}(?P<q>[ .-])\d{2}(?P=q)\d{4})|(?P<local>\d{3}-\d{4})|(?P<ten>[2-9]\d{9})|(?P<nine>\d{9})|(?P<card>\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7})|(?P<foreign>\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}))(?![\w/]|[.,-]\d)"
 )
-_LETTERED = re.compile(r"\b(?:(?P<iban>[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?)|(?P<doc>[A-Z]{1,3}-?\d{5,9}[A-Z]?))\b")
+_LETTERED = re.compile(r"\b(?:(?P<iban>[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?)|(?P<doc>[A-Z]{1,3}-?\d{5,9}[A-Z]?))\b(?!/)")
 _ID_CUE = re.compile(r"\b(?:ssn|social security|tax(?:payer)?|tin|itin|number is|id|identity|licen[cs]e|passport|pasaporte|dni|nie|cédula|número)\b", re.IGNORECASE)
 _PHONE_CUE = re.compile(r"\b(?:call(?:ing)?|phone|tel|teléfono|cell|mobile|fax|reached|llamó|ext|móvil|contact)\b", re.IGNORECASE)
 _NOT_PERSONAL = re.compile(r"\b(?:section|code|form|circular|account|acct|table|meter|docket|file|rfp|case|invoice|parcel|lot|item|no|ordinance|resolution|res|ord|fund|page|permit|ticket|chapter)\b\.?[^.;\n]{0,12}$", re.IGNORECASE)
@@ -89,6 +90,27 @@ _CALLE = re.compile(rf"\b(?:calle|avenida|avda\.?|av\.|paseo|camino|carrera|plaz
 _NOT_STREETS = frozenset("of the and on in at to by for with from new old per each feet foot miles acres days day year years month months square cubic linear tons pounds gallons metric short".split())
 
 
+#: What a text must hold, in lower case, for a pattern to be worth trying (fixed values).
+_TITLE_HINTS = ("mr", "ms", "miss", "dr", "prof", "rev", "hon", "señor", " sr", "doña", "don ")
+_CUE_HINTS = (
+    "dear", "signed,", "from:", "applicant:", "tenant", "attention", "council member", "submitted by", "presentado por", "firmado:", "solicitante", "inspector",
+    "my name is", "avisos a", "widow of", "the home of", "is owed to", "ccording to", "the dog of", "petition lists", "at the counter by", "complaint, which", "thanks", "payee", "heirs:",
+)
+_CALLE_HINTS = ("calle", "avenida", "avda", "av.", "paseo", "camino", "carrera", "plaza")
+_EMAIL_HINTS = ("@", "(at", "[at", "{at", "<at", "( at", "[ at", "{ at", "< at", "arroba", " dot ", " punto ", "\ndot ", "\tdot ")
+
+
+def _automaton() -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for name in GIVEN:
+        a.add_word(name, len(name))
+    a.make_automaton()
+    return a
+
+
+_AUTOMATON = _automaton()
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, ch in enumerate(reversed(digits)):
@@ -102,6 +124,18 @@ def mod97(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def _emails(text: str, low: str) -> Iterator[tuple[float, int, int, str]]:
+    """Looked for only around the signs that one may be there."""
+    if not any(h in low for h in _EMAIL_HINTS):
+        return
+    upto = 0
+    for hint in _EMAIL_HINT.finditer(text):
+        at = max(upto, hint.start() - 120)
+        while hint.start() >= upto and (m := _EMAIL.search(text, at, hint.end() + 160)):
+            upto = at = m.end()
+            yield 0.9, m.start(), upto, "email"
+
+
 def _numbers(text: str) -> Iterator[tuple[float, int, int, str]]:
     for m in _DIGITS.finditer(text):
         kind, start, end = m.lastgroup, m.start(), m.end()
@@ -128,13 +162,13 @@ def _numbers(text: str) -> Iterator[tuple[float, int, int, str]]:
         yield 0.3 + 0.4 * bool(_ID_CUE.search(before)), m.start(), m.end(), "id_number"
 
 
-def _addresses(text: str) -> Iterator[tuple[float, int, int, str]]:
+def _addresses(text: str, low: str) -> Iterator[tuple[float, int, int, str]]:
     for m in _ADDRESS.finditer(text):
         words = m["w"].casefold().split()
         if any(w in _NOT_STREETS for w in words):
             continue
         yield 0.8, m.start(), m.end(), "address"
-    for m in _CALLE.finditer(text):
+    for m in _CALLE.finditer(text) if any(c in low for c in _CALLE_HINTS) else ():
         yield 0.8, m.start(), m.end(), "address"
 
 
@@ -148,33 +182,35 @@ def _clear(text: str, end: int) -> bool:
     return not m or bool(m[1]) and (m[1].casefold() not in NOT_SURNAMES or m[1].casefold() in _CIVIC)
 
 
-def _names(text: str) -> Iterator[tuple[float, int, int, str]]:
+def _given(text: str, low: str) -> Iterator[tuple[int, int]]:
+    """Places of capitalised given names that are whole words; a hyphen may follow, a letter or apostrophe not."""
+    if len(low) != len(text):  # lower case took another length: go word by word
+        for m in _WORD.finditer(text):
+            if m[0].casefold() in GIVEN:
+                yield m.span()
+        return
+    for last, size in _AUTOMATON.iter(low):
+        start, end = last - size + 1, last + 1
+        if not text[start].isupper() or start and (text[start - 1].isalnum() or text[start - 1] == "_") or end < len(text) and (text[end].isalnum() or text[end] in "_'’"):
+            continue
+        yield start, end
+
+
+def _names(text: str, low: str) -> Iterator[tuple[float, int, int, str]]:
     upto = 0
-    last: re.Match | None = None
-    for m in _WORD.finditer(text):
-        word, start = m[0], m.start()
-        if start >= upto and word.casefold() in GIVEN:
-            follow = _AFTER_GIVEN.match(text, m.end())
-            good = follow and (word.isupper() is follow["s"].isupper() or len(word) < 2)
-            if good and _surname(follow["s"]) and _clear(text, follow.end()):
-                upto = follow.end()
-                yield 0.8, start, upto, "name"
-            elif last is not None and last.start() >= upto - len(last[0]) and _surname(last[0]) and (tail := _GIVEN_SECOND.match(text, m.end())):
-                begin = last.start()
-                if begin >= upto:
-                    upto = tail.end()
-                    yield 0.7, begin, upto, "name"
-        hyphen = last is not None and text[last.end() : start] == "-" and last.end() > upto
-        comma = text[m.end() : m.end() + 1]
-        if comma == ",":
-            if hyphen:
-                joined = _HYPHENED.match(text, last.start())
-                last = joined if joined and joined.end() == m.end() else m
-            else:
-                last = m
-        else:
-            last = m if text[m.end() : m.end() + 1] == "-" else None
-    for m in _TITLED.finditer(text):
+    for start, end in _given(text, low):
+        if start < upto:
+            continue
+        follow = _AFTER_GIVEN.match(text, end)
+        if follow and text[start:end].isupper() is follow["s"].isupper() and _surname(follow["s"]) and _clear(text, follow.end()):
+            upto = follow.end()
+            yield 0.8, start, upto, "name"
+        elif text[start - 2 : start - 1] == "," and (tail := _GIVEN_SECOND.match(text, end)):
+            before = _LAST_FIRST.search(text, max(upto, start - 80), start)
+            if before and _surname(before[1]):
+                upto = tail.end()
+                yield 0.7, before.start(1), upto, "name"
+    for m in _TITLED.finditer(text) if any(t in low for t in _TITLE_HINTS) else ():
         got = _AFTER_TITLE.match(text, m.end())
         if got and (not _surname(got["s"]) or got["s"].casefold() in ("asked",)):
             got = _SUR_ONLY.match(text, m.end())
@@ -183,7 +219,7 @@ def _names(text: str) -> Iterator[tuple[float, int, int, str]]:
     for m in _INITIAL.finditer(text):
         if _surname(m["s"]) and m["s"].casefold() not in _STARTS and _clear(text, m.end()):
             yield 0.6, m.start(), m.end(), "name"
-    for m in _CUES.finditer(text):
+    for m in _CUES.finditer(text) if any(c in low for c in _CUE_HINTS) else ():
         got = _CUED.match(text, m.end()) or _CUED_LAST.match(text, m.end())
         if got and _surname(got["s"]) and _clear(text, got.end()):
             yield 0.55, m.end(), got.end(), "name"
@@ -198,11 +234,12 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
     if not text:
         return []
     found: list[tuple[int, int, str]] = []
+    low = text.lower()
     layers = [
-        [(0.9, m.start(), m.end(), "email") for m in _EMAIL.finditer(text)] if _EMAIL_HINT.search(text) else [],
+        list(_emails(text, low)),
         list(_numbers(text)),
-        list(_addresses(text)),
-        sorted(_names(text), key=lambda x: (-x[0], x[1])),
+        list(_addresses(text, low)),
+        sorted(_names(text, low), key=lambda x: (-x[0], x[1])),
     ]
     for layer in layers:
         for score, start, end, kind in layer:
