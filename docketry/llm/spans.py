@@ -164,20 +164,28 @@ class SharedSpans:
         whole = self.shared.where("ctx is not null").select("fp", "ctx", "grp", "rec")
         return whole.join(self._several(whole, "fp", "ctx", first=first), ["fp", "ctx"]).select("rec", *["first"] * first).distinct()
 
-    def _places(self, doubtful: DataFrame | None) -> DataFrame:
-        """(rec, places): the windows to look at; with ``doubtful``, only runs that such a record has."""
+    def _unsettled(self, sure: DataFrame) -> DataFrame:
+        """(fp): runs that a record outside ``sure`` (rec) has."""
+        return self.shared.select("fp", "rec").join(sure, "rec", "left_anti").select("fp").distinct()
+
+    def _apart(self, joined: DataFrame) -> DataFrame:
+        """(fp): runs whose records ``joined`` (rec, group_id) hasn't brought into one group."""
+        at = self.shared.select("fp", "rec").join(joined, "rec", "left").select("fp", F.coalesce("group_id", "rec").alias("at"))
+        return at.groupBy("fp").agg(F.min("at").alias("a0"), F.max("at").alias("a1")).where("a0 < a1").select("fp")
+
+    def _places(self, wanted: DataFrame | None) -> DataFrame:
+        """(rec, places): the windows to look at; with ``wanted`` (fp), only those of such runs."""
         shared = self.shared.select("fp", "rec", "low", "own")
-        if doubtful is not None:
-            wanted = shared.join(doubtful, "rec", "left_anti").select("fp").distinct()
+        if wanted is not None:
             shared = shared.join(wanted, "fp", "left_semi")
         return shared.groupBy("rec").agg(F.collect_set(F.struct("low", "own")).alias("places"))
 
-    def hits(self, sure: DataFrame | None = None, *detail: str) -> DataFrame:
-        """(rec, and of place and first what is asked for): windows that stand in another group too; with ``sure``, enough to settle all other records."""
-        places = self._places(None if sure is None else sure.select("rec"))
+    def hits(self, wanted: DataFrame | None = None, *detail: str) -> DataFrame:
+        """(rec, and of place and first what is asked for): windows that stand in another group too; with ``wanted`` (fp), those of such runs."""
+        places = self._places(wanted)
         texts = self.rows.select("rec", "grp", "text").join(places, "rec")
         windows = texts.mapInArrow(_windows(self.length), "h1 long, h2 long, grp long, rec long, place long")
-        windows = cut(windows)
+        windows = cut(windows.select("h1", "h2", "grp", "rec", *(c for c in detail if c == "place")))
         return windows.join(self._several(windows, "h1", "h2", first="first" in detail), ["h1", "h2"]).select("rec", *detail)
 
     def named(self, recs: DataFrame) -> DataFrame:
@@ -186,7 +194,7 @@ class SharedSpans:
     def records(self) -> DataFrame:
         """(key): records with a shared span."""
         sure = cut(self.sure(first=False))
-        found = sure.unionByName(self.hits(sure)).distinct()
+        found = sure.unionByName(self.hits(self._unsettled(sure))).distinct()
         return self.named(found).select(F.col("key").alias(self.key)).distinct()
 
     def coverage(self) -> DataFrame:
@@ -199,9 +207,13 @@ class SharedSpans:
         return sizes.join(sums, "rec").select(F.col("key").alias(self.key), "n_chars", "shared_chars", "spans", (F.col("shared_chars") / F.col("n_chars")).alias("shared_share"))
 
     def groups(self) -> DataFrame:
-        """(key, group_key): records linked through shared spans, directly or not, with the group's least key."""
-        sure = cut(self.sure())
-        links = sure.unionByName(self.hits(sure.select("rec").distinct(), "first")).distinct()
+        """(key, group_key): records linked through shared spans, directly or not, with the group's least key.
+
+        Links through shared surroundings come first; windows are then looked at of every run whose records
+        these leave in different groups, also where each of the records has some other link.
+        """
+        joined = cut(connected_groups(self.sure(), "rec", "first").withColumnRenamed("id", "rec"))
+        links = joined.withColumnRenamed("group_id", "first").unionByName(self.hits(self._apart(joined), "first")).distinct()
         groups = connected_groups(links, "rec", "first")
         named = self.named(groups.withColumnRenamed("id", "rec")).select("key", "group_id").distinct()
         least = named.groupBy("group_id").agg(F.min("key").alias("group_key"))

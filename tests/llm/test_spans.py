@@ -58,6 +58,14 @@ def test_groups(spark):
     assert got["e"] == got["f"]
 
 
+def test_short_link_between_records_with_long_links(spark):
+    rnd = random.Random(11)
+    one, two, short = text(rnd, 600), text(rnd, 600), text(rnd, 220)
+    rows = [("a", "g1", one + text(rnd, 50) + short), ("b", "g2", text(rnd, 40) + one), ("c", "g3", short + text(rnd, 50) + two), ("d", "g4", two + text(rnd, 40))]
+    got = {r["k"]: r["group_key"] for r in spans.SharedSpans(frame(spark, rows), "k", "g", "t").groups().collect()}
+    assert got == dict.fromkeys("abcd", "a")
+
+
 def test_pieces_of_a_very_long_text(spark, monkeypatch):
     monkeypatch.setattr(spans, "PIECE", 2048)
     rnd = random.Random(9)
