@@ -217,8 +217,9 @@ def similar_records(rows: DataFrame, key: str, group: str, text: str, size: int,
 
     Equal texts are one class, compared once. A class of up to ``COPIES`` records is listed pair by pair;
     in a larger one every record is paired with the class's first record, or if that has the same group,
-    with the first record of another; to other classes it is represented by its first record. Rows with a
-    null key, group or text, and texts of fewer than ``size`` tokens, which have no runs to share, are
+    with the first record of another; to other classes it is represented by these two, so no link between
+    two texts is lost where a record of the one has the group of the other's first. Rows with a null key,
+    group or text, and texts of fewer than ``size`` tokens, which have no runs to share, are
     ignored; repeated rows count once.
     """
     rows = rows.select(F.col(key).alias("key"), F.col(group).alias("grp"), F.col(text).alias("text")).where("key is not null and grp is not null and text is not null")
@@ -229,14 +230,14 @@ def similar_records(rows: DataFrame, key: str, group: str, text: str, size: int,
     near = similar_texts(classes, size, threshold, trees).select("a", "b")
     sizes = members.groupBy("class").agg(F.count("*").alias("n"), F.min(F.struct("key", "grp")).alias("first"))
     known = cut(members.join(sizes, "class").join(classes.select("class", "id"), "class").select("id", "key", "grp", "n", "first"))
-    speak = known.where((F.col("n") <= COPIES) | (F.col("key") == F.col("first.key")))
+    many = known.where(f"n > {COPIES}")
+    other = many.where("grp <> first.grp").groupBy("id").agg(F.min(F.struct("key", "grp")).alias("second"))
+    speak = known.where((F.col("n") <= COPIES) | (F.col("key") == F.col("first.key"))).select("id", "key", "grp").unionByName(other.select("id", "second.key", "second.grp"))
     a = speak.select(F.col("id").alias("a"), F.col("key").alias("ka"), F.col("grp").alias("ga"))
     b = speak.select(F.col("id").alias("b"), F.col("key").alias("kb"), F.col("grp").alias("gb"))
     across = near.join(a, "a").join(b, "b")
-    few = speak.where(f"n between 2 and {COPIES}")
+    few = known.where(f"n between 2 and {COPIES}")
     within = few.select(F.col("id").alias("a"), F.col("key").alias("ka"), F.col("grp").alias("ga")).join(few.select(F.col("id").alias("a"), F.col("key").alias("kb"), F.col("grp").alias("gb")), "a").where("ka < kb")
-    many = known.where(f"n > {COPIES}")
-    other = many.where("grp <> first.grp").groupBy("id").agg(F.min(F.struct("key", "grp")).alias("second"))
     star = many.join(other, "id").where(F.col("key") != F.col("first.key")).select(F.col("key").alias("ka"), F.col("grp").alias("ga"), F.when(F.col("grp") != F.col("first.grp"), F.col("first")).otherwise(F.col("second")).alias("to"))
     star = star.select("ka", "ga", F.col("to.key").alias("kb"), F.col("to.grp").alias("gb"))
     cols = ["ka", "ga", "kb", "gb"]

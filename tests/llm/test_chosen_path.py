@@ -65,5 +65,14 @@ def test_many_copies_are_linked_through_the_first(spark):
     assert len(linked) == 100 and len(got) < 200
 
 
+def test_many_copies_keep_their_link_to_other_texts(spark):
+    text = [f"w{i}" for i in range(30)]
+    one, two, three = (" ".join([*text, x]) for x in ("one", "two", "three"))
+    rows = [(f"a{i:03d}", "g0" if i < 5 else f"g{i}", one) for i in range(40)] + [("b", "g0", two)] + [(f"c{i:03d}", "g0" if i < 5 else f"h{i}", three) for i in range(40)]
+    got = run(spark, rows)
+    assert got <= truth(rows, 3, 0.6)
+    assert {"ab", "ac", "bc"} <= {p[0][0] + p[1][0] for p in got}
+
+
 def test_empty(spark):
     assert run(spark, []) == set()
