@@ -35,6 +35,25 @@ def _read(raw: pd.Series, unit: pd.Series, normalized: pd.Series) -> pd.DataFram
     return pd.DataFrame({"number": pd.Series(numbers, dtype="float64"), "unit": pd.Series(units, dtype="object")})
 
 
+@F.pandas_udf(T.StringType())
+def _unit(raw: pd.Series, unit: pd.Series, normalized: pd.Series) -> pd.Series:
+    stated = ((quantities.stated_amount(r), u, n) for r, u, n in zip(raw, unit, normalized))
+    return pd.Series([(got and got[1]) or quantities.unit_of(u) or quantities.trailing_unit(n) for got, u, n in stated], dtype="object")
+
+
+def dimensions(facts: DataFrame, units: DataFrame) -> DataFrame:
+    """``facts`` with the dimension of the unit that each row names in ``raw_text``, ``unit`` or ``normalized_text``; null if none is known."""
+    ref = units.where("unit_code is not null").groupBy(F.col("unit_code").alias("named_unit")).agg(F.min("dimension").alias("dimension"))
+    return facts.withColumn("named_unit", _unit("raw_text", "unit", "normalized_text")).join(ref, "named_unit", "left").drop("named_unit")
+
+
+def unit_ratios(units: DataFrame) -> DataFrame:
+    """(dimension, factor): every ratio other than 1 between two factors of a dimension of the reference table."""
+    ref = units.where("factor > 0").select("dimension", F.col("factor").cast("double").alias("f")).distinct()
+    pairs = ref.join(ref.withColumnRenamed("f", "g"), "dimension").where("f <> g")
+    return pairs.select("dimension", (F.col("f") / F.col("g")).alias("factor")).distinct()
+
+
 def common_amounts(facts: DataFrame, units: DataFrame, key: str = "fact_id") -> DataFrame:
     """(key, common_unit, amount, value_key): every row that states one readable amount, in common units.
 
@@ -123,20 +142,23 @@ def _merge(penalty: float):
     return run
 
 
-def _labelled(parts: DataFrame, factors: list[float], tolerance: float) -> DataFrame:
+def _labelled(parts: DataFrame, factors: list[float] | DataFrame, tolerance: float) -> DataFrame:
     """Segments with the known factor between their level and that of the series' longest segment."""
     mean = F.col("total") / F.col("n")
     level = parts.groupBy("series").agg(F.max_by(mean, F.struct("n", (-F.col("block")).alias("b"), (-F.col("part")).alias("p"))).alias("level"))
     number = F.row_number().over(Window.partitionBy("series").orderBy("block", "part")) - 1
     rows = parts.join(level, "series").withColumn("mean_log", mean).withColumn("shift", mean - F.col("level")).withColumn("segment", number)
-    factor = F.lit(1.0)
-    if known := sorted({math.log(f) for f in factors if f > 0 and f != 1}):
-        near = F.array_min(F.array(*(F.struct(F.abs(F.col("shift") - x).alias("far"), F.lit(x).alias("log")) for x in known)))
-        factor = F.when((near["far"] <= tolerance) & (F.abs("shift") > tolerance), F.exp(near["log"])).otherwise(factor)
+    if isinstance(factors, DataFrame):
+        logs = factors.where("factor > 0 and factor <> 1").groupBy("dimension").agg(F.collect_set(F.log("factor")).alias("logs"))
+        rows = rows.withColumn("dimension", F.regexp_extract("series", r"([^|]*)$", 1)).join(F.broadcast(logs), "dimension", "left")
+    else:
+        rows = rows.withColumn("logs", F.array(*(F.lit(x) for x in sorted({math.log(f) for f in factors if f > 0 and f != 1}))).cast("array<double>"))
+    near = F.array_min(F.transform("logs", lambda x: F.struct(F.abs(F.col("shift") - x).alias("far"), x.alias("log"))))
+    factor = F.when((near["far"] <= tolerance) & (F.abs("shift") > tolerance), F.exp(near["log"])).otherwise(1.0)
     return rows.select("series", "segment", "first_at", "last_at", "n", "mean_log", factor.alias("factor"))
 
 
-def unit_shifts(history: DataFrame, factors: list[float], penalty: float = 3.0, tolerance: float = 0.12, block: int = 512) -> DataFrame:
+def unit_shifts(history: DataFrame, factors: list[float] | DataFrame, penalty: float = 3.0, tolerance: float = 0.12, block: int = 512) -> DataFrame:
     """(series, segment, first_at, last_at, n, mean_log, factor) of each series' history of positive values.
 
     ``history`` has series, at (string, its order), place (long, the order's coarse position, by which long
@@ -145,7 +167,8 @@ def unit_shifts(history: DataFrame, factors: list[float], penalty: float = 3.0,
     so on, so a shift at a block's edge is kept or dropped by the same rule and no task gets a whole hot
     series. The level with most
     observations is the series' own; a segment whose level differs from it by a known factor was recorded
-    in another unit: dividing its values by ``factor`` reverses that. ``factor`` is 1 elsewhere.
+    in another unit: dividing its values by ``factor`` reverses that. ``factor`` is 1 elsewhere. ``factors``
+    are those of all series, or a table (dimension, factor) for series that end in ``|dimension``.
 
     Null, zero, negative and non-finite values are ignored; ties in order fall to the value; a single value
     is one segment; repeated rows are repeated observations; an empty history gives no row.

@@ -16,13 +16,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_unit_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments of each artifact's recorded values by fact type, with the unit factor of each level shift."""
-    facts = table(spark, sf_dir, "evidence_facts", "fact_id", "fact_type", "artifact_id", "locator", "char_start", "numeric_value").where(F.col("fact_type").isin("money", "quantity"))
+    """Segments of each artifact's recorded values by dimension, with the unit factor of each level shift."""
+    facts = table(spark, sf_dir, "evidence_facts", "fact_id", "fact_type", "artifact_id", "locator", "char_start", "numeric_value", "raw_text", "unit", "normalized_text").where(F.col("fact_type").isin("money", "quantity"))
+    reference = table(spark, sf_dir, "unit_reference")
+    facts = units.dimensions(facts.dropDuplicates(["fact_id"]), reference)
     page = F.coalesce(F.regexp_extract("locator", r"(\d+)\D*$", 1).try_cast("long"), F.lit(0))
-    history = facts.dropDuplicates(["fact_id"]).select(
-        F.concat_ws("|", "artifact_id", "fact_type").alias("series"),
+    history = facts.select(
+        # a fact that names no known unit stays in the history of its type
+        F.concat_ws("|", "artifact_id", F.coalesce("dimension", "fact_type")).alias("series"),
         F.concat_ws("|", F.lpad(page.cast("string"), 10, "0"), F.lpad(F.coalesce("char_start", F.lit(0)).cast("string"), 10, "0"), "fact_id").alias("at"),
         (page * 16).alias("place"),
         F.col("numeric_value").alias("value"),
     )
-    return units.unit_shifts(history, [10.0**k for k in (-9, -6, -3, -2, 2, 3, 6, 9)])
+    return units.unit_shifts(history, units.unit_ratios(reference))

@@ -48,3 +48,21 @@ def test_unit_shift_is_found_across_blocks(spark, block):
     assert [(s, a, b, n) for s, a, b, n, _ in got] == [("s", "000000", "000599", 600), ("s", "000600", "000999", 400), ("s", "001000", "001499", 500), ("t", "000001", "000001", 1)]
     assert [round(f, 6) for *_, f in got] == [1, 0.001, 1, 1]
     assert units.unit_shifts(history.limit(0), [10.0]).count() == 0
+
+
+def test_p2_unit_shifts_knows_the_factors_of_each_dimension(spark, tmp_path):
+    from docketry.plans.quantities import p2_unit_shifts
+
+    rnd = np.random.default_rng(3)
+    rows, want = [], {"area": 43560.0, "length": 5280.0, "mass": 2000.0, "volume": 325851.43, "money": 1000.0}
+    for d, unit in (("area", "sq ft"), ("length", "ft"), ("mass", "lb"), ("volume", "gal"), ("money", "usd")):
+        value = np.exp(rnd.normal(15, 0.02, 60))
+        value[40:] /= want[d]
+        rows += [(f"{d}{i}", "money" if d == "money" else "quantity", "a", f"page:{i}", 0, float(v), f"{v:.0f}", unit, None) for i, v in enumerate(value)]
+    spark.createDataFrame(rows, "fact_id string, fact_type string, artifact_id string, locator string, char_start int, numeric_value double, raw_text string, unit string, normalized_text string").write.parquet(f"{tmp_path}/evidence_facts.parquet")
+    ref = [(u, d, c, f) for d, c, u, f in [("area", "sq_ft", "sq_ft", 1.0), ("area", "sq_ft", "acre", 43560.0), ("length", "ft", "ft", 1.0), ("length", "ft", "mile", 5280.0), ("mass", "lb", "lb", 1.0), ("mass", "lb", "short_ton", 2000.0), ("volume", "gal", "gal", 1.0), ("volume", "gal", "acre_ft", 325851.43), ("money", "usd", "usd", 1.0), ("money", "usd", "usd_thousand", 1000.0)]]
+    spark.createDataFrame(ref, "unit_code string, dimension string, common_unit string, factor double").write.parquet(f"{tmp_path}/unit_reference.parquet")
+    got = {(r["series"], r["segment"]): (r["n"], 1 / r["factor"]) for r in p2_unit_shifts(spark, str(tmp_path)).collect()}
+    assert set(got) == {(f"a|{d}", k) for d in want for k in (0, 1)}
+    for d, factor in want.items():
+        assert got[f"a|{d}", 0] == (40, 1) and got[f"a|{d}", 1][0] == 20 and abs(got[f"a|{d}", 1][1] / factor - 1) < 1e-6
