@@ -162,10 +162,11 @@ def unit_shifts(history: DataFrame, factors: list[float] | DataFrame, penalty: f
     """(series, segment, first_at, last_at, n, mean_log, factor) of each series' history of positive values.
 
     ``history`` has series, at (string, its order), place (long, the order's coarse position, by which long
-    histories are divided) and value. Exact penalised changepoint search (least squares on log values)
-    runs in every block of ``block`` places, then again over the segments of ``FAN`` neighbouring blocks, and
+    histories are divided) and value. Penalised changepoint search (least squares on log values), exact within
+    a block, runs in every block of ``block`` places, then again over the segments of ``FAN`` neighbouring blocks, and
     so on, so a shift at a block's edge is kept or dropped by the same rule and no task gets a whole hot
-    series. The level with most
+    series. For histories of several blocks that is approximate: a shift too short to be seen on one side of
+    an edge can be lost, and noise and penalty are the block's. The level with most
     observations is the series' own; a segment whose level differs from it by a known factor was recorded
     in another unit: dividing its values by ``factor`` reverses that. ``factor`` is 1 elsewhere. ``factors``
     are those of all series, or a table (dimension, factor) for series that end in ``|dimension``.
