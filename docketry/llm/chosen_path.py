@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.llm.hashing import TOKEN, TokenHasher, minima, mix, seeds, shingles
@@ -18,8 +19,8 @@ WIDTH = 64
 LEAF = 64
 #: Levels after which a node that still is larger is compared in blocks.
 DEPTH = 10
-#: Copies of one text that are listed pair by pair; more are linked through their first.
-COPIES = 32
+#: Records that speak for a class of equal texts, of as many groups as there are.
+SPEAKERS = 32
 
 _U = np.uint64
 _LEVEL = "node long, id long, sketch binary"
@@ -147,10 +148,9 @@ def candidates(docs: DataFrame, size: int, threshold: float, trees: int) -> Data
     """
     spread = 3.3 * (threshold * (1 - threshold) / WIDTH) ** 0.5
     least = int(np.floor((threshold - spread) * WIDTH))
-    level = docs.mapInArrow(_sketches(size, trees), _LEVEL)
+    level = cut(docs.mapInArrow(_sketches(size, trees), _LEVEL))
     pairs: list[DataFrame] = []
     for depth in range(DEPTH + 1):
-        level = cut(level)
         rows = level.count()
         if not rows:
             break
@@ -200,9 +200,10 @@ def similar_texts(docs: DataFrame, size: int = 5, threshold: float = 0.8, trees:
     """(a, b, similarity): pairs of different texts of ``docs`` (id long, text) with Jaccard similarity of at least
     ``threshold`` over the sets of ``size`` tokens in a row, a token being a run of a-z and 0-9.
 
-    Candidates by chosen paths, then the exact similarity of the texts. No pair is returned wrongly; a
-    pair of just the threshold is missed with a chance of about one in a thousand at nine trees. Null, empty
-    and too short texts have no pairs; an empty input gives no row.
+    Candidates by chosen paths, then the exact similarity of the texts. No pair is returned wrongly. Where the
+    first nodes are leaves, a pair of just the threshold is missed with a chance of about one in a thousand at
+    nine trees; the more of the texts is boilerplate, the more nodes branch and the more is missed (measured
+    figures: README). Null, empty and too short texts have no pairs; an empty input gives no row.
     """
     texts = docs.select("id", "text").where("text is not null")
     pairs = candidates(texts, size, threshold, trees)
@@ -212,34 +213,63 @@ def similar_texts(docs: DataFrame, size: int = 5, threshold: float = 0.8, trees:
     return both.mapInArrow(_jaccard(size, threshold), "a long, b long, similarity double")
 
 
-def similar_records(rows: DataFrame, key: str, group: str, text: str, size: int, threshold: float, trees: int = 9) -> DataFrame:
-    """(key_a, key_b): pairs of records of different groups with similar texts, the smaller key first.
+@dataclass
+class Similar:
+    """Classes of equal texts and the pairs of classes that are similar: what any number of copies is stated by.
 
-    Equal texts are one class, compared once. A class of up to ``COPIES`` records is listed pair by pair;
-    in a larger one every record is paired with the class's first record, or if that has the same group,
-    with the first record of another; to other classes it is represented by these two, so no link between
-    two texts is lost where a record of the one has the group of the other's first. Rows with a null key,
+    ``members``: id (the class), key, grp, n (the class's records) and speaks (the record is one of those that
+    speak for its class); ``near``: (a, b, similarity), pairs of different classes.
+    """
+
+    members: DataFrame
+    near: DataFrame
+
+    def _side(self, name: str, speakers: bool) -> DataFrame:
+        rows = self.members.where("speaks") if speakers else self.members
+        return rows.select(F.col("id").alias(name), F.col("key").alias(f"k{name}"), F.col("grp").alias(f"g{name}"))
+
+    def pairs(self, every: bool = False) -> DataFrame:
+        """(ka, kb): pairs of records of different groups, the smaller key first.
+
+        A record is paired with the speakers of its own class, and speakers with those of similar classes,
+        so pairs grow with the records, not with their square, and no link between two texts is lost. Up to
+        ``SPEAKERS`` records all speak, so these are all pairs. ``every`` pairs all records, whatever the
+        size: the exact expansion.
+        """
+        across = self.near.join(self._side("a", not every), "a").join(self._side("b", not every), "b")
+        within = self._side("a", False).join(self._side("b", not every).withColumnRenamed("b", "a"), "a").where("ka <> kb")
+        cols = ["ka", "ga", "kb", "gb"]
+        both = across.select(*cols).unionByName(within.select(*cols)).where("ga <> gb")
+        return both.select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct()
+
+    def classes(self) -> DataFrame:
+        """(key, class_key, copies, links): of every record its class, named by its least key, with the class's records and similar classes."""
+        least = self.members.groupBy("id").agg(F.min("key").alias("class_key"))
+        links = self.near.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+        named = self.members.select("id", "key", F.col("n").alias("copies")).distinct().join(least, "id").join(links, "id", "left")
+        return named.select("key", "class_key", "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
+def similar_records(rows: DataFrame, key: str, group: str, text: str, size: int, threshold: float, trees: int = 9) -> Similar:
+    """Records (key, group, text) by classes of equal texts, and the pairs of similar classes; see ``Similar``.
+
+    Equal texts are one class, compared once. The records that speak for it are the first ``SPEAKERS`` by
+    (place within their group, key), so every group speaks before any does twice. Rows with a null key,
     group or text, and texts of fewer than ``size`` tokens, which have no runs to share, are
-    ignored; repeated rows count once.
+    ignored; repeated rows count once; an empty input gives no row.
     """
     rows = rows.select(F.col(key).alias("key"), F.col(group).alias("grp"), F.col(text).alias("text")).where("key is not null and grp is not null and text is not null")
     enough = rf"(?:[a-z0-9]+[^a-z0-9]+){{{size - 1}}}[a-z0-9]"
     rows = rows.where(F.col("text").rlike(enough)).withColumn("class", F.unhex(F.md5("text")))
     members = rows.select("class", "key", "grp").distinct()
     classes = cut(rows.groupBy("class").agg(F.max("text").alias("text")).withColumn("id", F.monotonically_increasing_id()))
-    near = similar_texts(classes, size, threshold, trees).select("a", "b")
-    sizes = members.groupBy("class").agg(F.count("*").alias("n"), F.min(F.struct("key", "grp")).alias("first"))
-    known = cut(members.join(sizes, "class").join(classes.select("class", "id"), "class").select("id", "key", "grp", "n", "first"))
-    many = known.where(f"n > {COPIES}")
-    other = many.where("grp <> first.grp").groupBy("id").agg(F.min(F.struct("key", "grp")).alias("second"))
-    speak = known.where((F.col("n") <= COPIES) | (F.col("key") == F.col("first.key"))).select("id", "key", "grp").unionByName(other.select("id", "second.key", "second.grp"))
-    a = speak.select(F.col("id").alias("a"), F.col("key").alias("ka"), F.col("grp").alias("ga"))
-    b = speak.select(F.col("id").alias("b"), F.col("key").alias("kb"), F.col("grp").alias("gb"))
-    across = near.join(a, "a").join(b, "b")
-    few = known.where(f"n between 2 and {COPIES}")
-    within = few.select(F.col("id").alias("a"), F.col("key").alias("ka"), F.col("grp").alias("ga")).join(few.select(F.col("id").alias("a"), F.col("key").alias("kb"), F.col("grp").alias("gb")), "a").where("ka < kb")
-    star = many.join(other, "id").where(F.col("key") != F.col("first.key")).select(F.col("key").alias("ka"), F.col("grp").alias("ga"), F.when(F.col("grp") != F.col("first.grp"), F.col("first")).otherwise(F.col("second")).alias("to"))
-    star = star.select("ka", "ga", F.col("to.key").alias("kb"), F.col("to.grp").alias("gb"))
-    cols = ["ka", "ga", "kb", "gb"]
-    out = across.select(*cols).unionByName(within.select(*cols)).unionByName(star.select(*cols)).where("ga <> gb")
-    return out.select(F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b")).distinct()
+    near = cut(similar_texts(classes, size, threshold, trees))
+    sizes = members.groupBy("class").agg(F.count("*").alias("n")).join(classes.select("class", "id"), "class")
+    known = cut(members.join(sizes, "class").select("id", "key", "grp", "n"))
+    # both ranks are cut off before the shuffle, so a hot class is sorted in no single task
+    several = known.where("n > 1")
+    own = several.withColumn("turn", F.row_number().over(Window.partitionBy("id", "grp").orderBy("key"))).where(F.col("turn") <= SPEAKERS)
+    first = own.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("turn", "key", "grp"))).where(F.col("place") <= SPEAKERS)
+    said = first.select("id", "key", "grp", F.lit(True).alias("speaks"))
+    marked = several.join(said, ["id", "key", "grp"], "left").withColumn("speaks", F.coalesce("speaks", F.lit(False)))
+    return Similar(cut(known.where("n = 1").withColumn("speaks", F.lit(True)).unionByName(marked)), near)

@@ -35,12 +35,21 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(spark, sf_dir).groups()
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments of different units that are alike but for small edits."""
+def _similar(spark: SparkSession, sf_dir: str) -> chosen_path.Similar:
     rows = table(spark, sf_dir, "evidence_segments", "segment_id", "evidence_id", "normalized_text")
     return chosen_path.similar_records(rows, "segment_id", "evidence_id", "normalized_text", size=3, threshold=0.6)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of different units that are alike but for small edits."""
+    return _similar(spark, sf_dir).pairs().toDF("segment_id_a", "segment_id_b")
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment with its class of equal texts, the class's copies, and how many similar classes there are."""
+    return _similar(spark, sf_dir).classes().withColumnRenamed("key", "segment_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group identifier of every source at either end of a match relation."""
     edges = table(spark, sf_dir, "source_relations", "source_id", "related_source_id", "relation_type").where(components.spelled(F.col("relation_type")).isin(*MATCH_TYPES))
@@ -147,6 +156,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_shared": p3_shared,
         "p3_groups": p3_groups,
         "p4_found": p4_found,
+        "p4_classes": p4_classes,
         "p5_found": p5_found,
         "p6_found": p6_found,
         "p6_repaired": p6_repaired,
