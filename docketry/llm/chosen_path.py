@@ -206,7 +206,11 @@ def similar_texts(docs: DataFrame, size: int = 5, threshold: float = 0.8, trees:
     figures: README). Null, empty and too short texts have no pairs; an empty input gives no row.
     """
     texts = docs.select("id", "text").where("text is not null")
-    pairs = candidates(texts, size, threshold, trees)
+    return verified(texts, candidates(texts, size, threshold, trees), size, threshold)
+
+
+def verified(texts: DataFrame, pairs: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(a, b, similarity): those of ``pairs`` (a, b) whose texts (id, text) have the exact similarity."""
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")

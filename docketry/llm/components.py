@@ -73,8 +73,9 @@ def connected_groups(edges: DataFrame, left: str = "a", right: str = "b") -> Dat
     if not rounds:
         return ids.select("id", F.col("id").alias("group_id"))
     final = _compose(rounds)
-    named = ids.join(final.withColumnRenamed("x", "id"), "id", "left").select("id", F.coalesce("p", "id").alias("root"))
-    least = named.groupBy("root").agg(F.min("id").alias("group_id"))
+    named = cut(ids.join(final.withColumnRenamed("x", "id"), "id", "left").select("id", F.coalesce("p", "id").alias("root")))
+    # written, so that the join can split the ids of a group that holds most of them
+    least = cut(named.groupBy("root").agg(F.min("id").alias("group_id")))
     return named.join(least, "root").select("id", "group_id")
 
 

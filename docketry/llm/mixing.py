@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from docketry.session import cut
 
-#: Newton steps at most; the dual is convex in one variable per source, and steps are halved where they overshoot.
-STEPS = 40
+#: Newton steps after which the search is given up with an error. The dual is convex in one variable per source and
+#: steps that leave the bracket halve it, so the tilts are at the end of double precision long before.
+STEPS = 400
 BINS = 4096
 
 
@@ -103,9 +104,11 @@ def _newton(spark: SparkSession, hist: DataFrame, sums: dict, budget: dict, caps
             tilt[m, s] = 1e6  # every document as often as it may be
         else:
             open_.add((m, s))
-    for _ in range(STEPS):
-        if not open_:
-            break
+    steps = 0
+    while open_:
+        steps += 1
+        if steps > STEPS:
+            raise RuntimeError(f"no tilt found for {sorted(open_)}")
         now = spark.createDataFrame([(m, s, caps[m, s], tilt[m, s], sums[s][1]) for m, s in sorted(open_)], "mix_name string, source string, cap int, tilt double, mean double")
         x = F.col("n") / F.col("mean")
         w = _rate(F.col("cap"), F.col("tilt"), x)
@@ -114,13 +117,14 @@ def _newton(spark: SparkSession, hist: DataFrame, sums: dict, budget: dict, caps
         for r in got:
             k = (r["mix_name"], r["source"])
             miss = r["g"] - budget[k]
-            if abs(miss) <= 1e-6 * budget[k]:
-                open_.discard(k)
-                continue
             if miss < 0:
                 low[k] = tilt[k]
             else:
                 high[k] = tilt[k]
+            # met, or the bracket has no number left between its ends
+            if abs(miss) <= 1e-6 * budget[k] or high[k] - low[k] <= 1e-14 * abs(tilt[k]):
+                open_.discard(k)
+                continue
             new = tilt[k] - miss / r["h"] if r["h"] > 0 else math.nan
             if not low[k] < new < high[k]:
                 new = (low[k] + high[k]) / 2 if math.isfinite(low[k]) and math.isfinite(high[k]) else tilt[k] + (1.0 if miss < 0 else -1.0) * max(1.0, abs(tilt[k]))

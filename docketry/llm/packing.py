@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.session import cut
 
-#: Parts in which the items of one length are numbered, so that a hot length is no single task.
-SALTS = 64
-
 
 @dataclass
 class Pattern:
@@ -109,8 +104,8 @@ def plan(histogram: np.ndarray, capacity: int, window: int | None = None) -> lis
     return out
 
 
-def _places(plans: dict[str, list[Pattern]]) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By (pack, length): where each pattern's share of the items starts, its first container and items in each."""
+def _places(plans: dict[str, list[Pattern]]) -> list[tuple[str, int, list[int], list[int], list[int]]]:
+    """(pack, length, starts, firsts, eachs): where each pattern's share of the items of a length starts, its first container and items in each."""
     used: dict[tuple[str, int], int] = {}
     out: dict[tuple[str, int], list[tuple[int, int, int]]] = {}
     for pack, patterns in plans.items():
@@ -121,21 +116,23 @@ def _places(plans: dict[str, list[Pattern]]) -> dict[tuple[str, int], tuple[np.n
                 out.setdefault((pack, n), []).append((at, first, k))
                 used[pack, n] = at + k * p.repeats
             first += p.repeats
-    return {key: tuple(np.array(c, dtype=np.int64) for c in zip(*rows)) for key, rows in out.items()}  # type: ignore[misc]
+    return [(*key, *map(list, zip(*rows))) for key, rows in out.items()]  # type: ignore[misc]
 
 
-def _assign(places: dict, offsets: dict[tuple[str, int, int], int]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            container = np.empty(len(pdf), dtype=np.int64)
-            for (pack, length, salt), rows in pdf.groupby(["pack_name", "length", "salt"], sort=False).indices.items():
-                start, first, each = places[pack, length]
-                index = pdf["rn"].to_numpy()[rows] - 1 + offsets[pack, length, salt]
-                p = np.searchsorted(start, index, side="right") - 1
-                container[rows] = first[p] + (index - start[p]) // each[p]
-            yield pd.DataFrame({"pack_name": pdf["pack_name"], "container_id": ["m" + str(c) for c in container], "key": pdf["key"], "piece": pdf["piece"], "token_start": pdf["token_start"], "n_tokens": pdf["n_tokens"]})
+def _numbered(items: DataFrame, by: list[str]) -> DataFrame:
+    """``items`` with ``at``, their rank from 0 in the order ``by``.
 
-    return run
+    Range partitions in that order are numbered where they lie and offset by the counts of those before, one
+    number per partition, so no task sorts more than its share, whatever key is hot.
+    """
+    placed = cut(items.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_n", F.monotonically_increasing_id()))
+    task = F.shiftright("_n", 33)
+    offsets, before = [], 0
+    for t, n in sorted((r["t"], r["count"]) for r in placed.groupBy(task.alias("t")).count().collect()):
+        offsets.append((t, before))
+        before += n
+    known = items.sparkSession.createDataFrame(offsets, "_t long, _before long")
+    return placed.withColumn("_t", task).join(F.broadcast(known), "_t").withColumn("at", F.col("_n").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")).drop("_n", "_t", "_before")
 
 
 def packed(items: DataFrame, packs: DataFrame, key: str) -> DataFrame:
@@ -143,9 +140,9 @@ def packed(items: DataFrame, packs: DataFrame, key: str) -> DataFrame:
 
     ``items``: key and n_tokens; ``packs``: pack_name, capacity_tokens, a small fixed table. An item longer
     than the capacity is split into full containers and a rest, others never. The histogram of lengths,
-    at most one row per length up to the capacity, is all that reaches the driver; the plan made of it is
-    as bounded. Items of a length are numbered by key, in ``SALTS`` parts, and find their container in the
-    plan. Items of no tokens take one token of room; null sizes and capacities below one are ignored; an
+    one row per length up to the capacity, is all that reaches the driver; the plan made of it is
+    as bounded. Items are numbered by (capacity, length, key) in range partitions and find their container in
+    the plan, which is joined as a table. Items of no tokens take one token of room; null sizes and capacities below one are ignored; an
     empty input gives no row; repeated keys are items of their own.
     """
     caps = packs.where("capacity_tokens > 0 and pack_name is not null").select("pack_name", F.col("capacity_tokens").cast("long").alias("cap")).dropDuplicates(["pack_name"])
@@ -163,21 +160,25 @@ def packed(items: DataFrame, packs: DataFrame, key: str) -> DataFrame:
         (F.col("p") * F.col("cap")).alias("token_start"), F.col("cap").cast("int").alias("n_tokens"),
     )
     mixed = ends.where("rest > 0 or whole = 0").select(
-        "pack_name", F.greatest("rest", F.lit(1)).cast("long").alias("length"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("long").alias("salt"), "key",
+        "pack_name", F.greatest("rest", F.lit(1)).cast("long").alias("length"), "key",
         F.col("whole").cast("int").alias("piece"), (F.col("whole") * F.col("cap")).alias("token_start"), F.col("rest").cast("int").alias("n_tokens"),
     )
-    counts = mixed.groupBy("pack_name", "length", "salt").count().toPandas().sort_values(["pack_name", "length", "salt"])
-    plans, offsets = {}, {}
+    counts = mixed.groupBy("pack_name", "length").count().toPandas().sort_values(["pack_name", "length"])
+    plans = {}
     for pack, cap in small:
         own = counts[counts["pack_name"] == pack]
         h = np.zeros(cap + 1, dtype=np.int64)
-        np.add.at(h, own["length"].to_numpy(), own["count"].to_numpy())
+        h[own["length"].to_numpy(dtype=np.int64)] = own["count"].to_numpy()
         plans[pack] = plan(h, cap)
-        before = own.groupby("length")["count"].cumsum() - own["count"]
-        offsets |= {(pack, int(n), int(s)): int(b) for n, s, b in zip(own["length"], own["salt"], before)}
-    numbered = mixed.withColumn("rn", F.row_number().over(Window.partitionBy("pack_name", "length", "salt").orderBy("key")))
-    kind = sized.schema["key"].dataType.simpleString()
-    placed = numbered.mapInPandas(_assign(_places(plans), offsets), f"pack_name string, container_id string, key {kind}, piece int, token_start long, n_tokens int")
+    before = (counts["count"].cumsum() - counts["count"]).tolist()
+    first = dict(zip(zip(counts["pack_name"], counts["length"]), before))
+    rows = [(pack, n, int(first[pack, n]), s, f, e) for pack, n, s, f, e in _places(plans)]
+    places = items.sparkSession.createDataFrame(rows, "pack_name string, length long, before long, starts array<long>, firsts array<long>, eachs array<long>")
+    index = F.col("at") - F.col("before")
+    p = F.size(F.filter("starts", lambda s: s <= index))
+    inside = F.element_at("firsts", p) + F.floor((index - F.element_at("starts", p)) / F.element_at("eachs", p))
+    found = _numbered(mixed, ["pack_name", "length", "key"]).join(places, ["pack_name", "length"])
+    placed = found.select("pack_name", F.concat(F.lit("m"), inside.cast("string")).alias("container_id"), "key", "piece", "token_start", "n_tokens")
     return full.unionByName(placed).withColumnRenamed("key", key)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import chosen_path, components, consensus, mixing, packing, personal, scanned, spans, tokens
+from docketry.llm import chosen_path, components, consensus, mixing, packing, paragraphs, personal, scanned, spans, tokens
 from docketry.sources.tables import table
 
 #: Relation types that state that two sources are the same record (fixed values).
@@ -15,9 +15,7 @@ MATCH_TYPES = ("historicalversionof", "duplicateof", "samerecordas")
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> spans.SharedSpans:
-    read = table(spark, sf_dir, "evidence_extractions", "extraction_id", "evidence_id", "extracted_text").toDF("record_id", "evidence_id", "text")
-    cut_out = table(spark, sf_dir, "evidence_segments", "segment_id", "evidence_id", "raw_text").toDF("record_id", "evidence_id", "text")
-    return spans.SharedSpans(read.unionByName(cut_out), "record_id", "evidence_id", "text")
+    return spans.SharedSpans(_texts(spark, sf_dir), "record_id", "evidence_id", "text")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +28,16 @@ def p3_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(spark, sf_dir).coverage()
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = table(spark, sf_dir, "evidence_extractions", "extraction_id", "evidence_id", "extracted_text").toDF("record_id", "evidence_id", "text")
+    return read.unionByName(table(spark, sf_dir, "evidence_segments", "segment_id", "evidence_id", "raw_text").toDF("record_id", "evidence_id", "text"))
+
+
+def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many paragraphs of each record stand, nearly or exactly, in records of other units, and how many of them can go."""
+    return paragraphs.repeated(_texts(spark, sf_dir), "record_id", "evidence_id", "text")
+
+
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records linked through shared passages."""
     return _spans(spark, sf_dir).groups()
@@ -56,19 +64,19 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.connected_groups(edges, "source_id", "related_source_id").withColumnRenamed("id", "source_id")
 
 
-def _surviving(spark: SparkSession, sf_dir: str, ranked: bool) -> DataFrame:
+def _readings(spark: SparkSession, sf_dir: str) -> tuple:
     rows = table(spark, sf_dir, "evidence_extractions", "evidence_id", "extraction_id", "extracted_text", "quality_score", "occurred_at")
-    return consensus.surviving(rows, "evidence_id", "extraction_id", "extracted_text", "quality_score", "occurred_at", ranked=ranked)
+    return rows, "evidence_id", "extraction_id", "extracted_text", "quality_score", "occurred_at"
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The surviving reading of every unit with several; trust decides the vote before numbers do."""
-    return _surviving(spark, sf_dir, ranked=True)
+    """The surviving reading of every unit with several, by completeness and trust."""
+    return consensus.most_trusted(*_readings(spark, sf_dir))
 
 
 def p1_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reading closest to a vote weighted by quality scores alone."""
-    return _surviving(spark, sf_dir, ranked=False)
+    """The reading closest to a vote on every token, weighted by quality scores."""
+    return consensus.surviving(*_readings(spark, sf_dir))
 
 
 def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,6 +163,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": p3_found,
         "p3_shared": p3_shared,
         "p3_groups": p3_groups,
+        "p3_paragraphs": p3_paragraphs,
         "p4_found": p4_found,
         "p4_classes": p4_classes,
         "p5_found": p5_found,

@@ -1,9 +1,10 @@
 """Long exact spans shared between records.
 
-The paragraphs compared are all windows of ``length`` characters. Their MinHash has one hash function over
-the window's runs of ``RUN`` characters, in one band of one row: equal windows always collide, so recall is
-exactly one for verbatim spans, and a window's neighbours mostly share its minimum, so a text yields few
-rows. Collisions are verified through hashes of whole windows, never pair by pair.
+All windows of ``length`` characters are compared, through the least hash of each window's runs: equal windows
+have an equal one, so no verbatim span is missed, and a window's neighbours mostly share it, so a text
+yields few rows. Windows that collide are verified through 128 bits of hash of the whole window, never pair by
+pair. Records and groups are 64-bit hashes of their keys: a link is hidden only where the very two groups that
+share the passage clash, one in 2^64 links. Near-repeats by paragraph are in ``paragraphs``.
 """
 
 from __future__ import annotations
@@ -151,13 +152,15 @@ class SharedSpans:
         self.rows = rows.where(F.length("text") >= length).select("key", F.xxhash64("key").alias("rec"), F.xxhash64("g").alias("grp"), "text")
         # hashed twice: writing all runs would cost more disk than hashing costs time
         prints = self.rows.select("rec", "grp", "text").mapInArrow(_fingerprints(length, run), "fp long, grp long, rec long, low int, own int, ctx long")
-        several = prints.groupBy("fp").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 < g1").select("fp")
-        self.shared = cut(prints.join(several, "fp"))
+        self.shared = cut(prints.join(self._several(prints, "fp", first=False), "fp"))
 
     def _several(self, df: DataFrame, *by: str, first: bool = True) -> DataFrame:
-        """Keys that occur in more than one group; ``first``: with the least record that has them."""
+        """Keys that occur in more than one group; ``first``: with the least record that has them.
+
+        Written, so that a join with them can split a hot key: with an aggregate that was just made it can't.
+        """
         least = [F.min("rec").alias("first")] if first else []
-        return df.groupBy(*by).agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), *least).where("g0 < g1").drop("g0", "g1")
+        return cut(df.groupBy(*by).agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), *least).where("g0 < g1").drop("g0", "g1"))
 
     def sure(self, first: bool = True) -> DataFrame:
         """(rec, first): records with a run whose surroundings are shared as well; no need to look closer."""
@@ -216,5 +219,5 @@ class SharedSpans:
         links = joined.withColumnRenamed("group_id", "first").unionByName(self.hits(self._apart(joined), "first")).distinct()
         groups = connected_groups(links, "rec", "first")
         named = self.named(groups.withColumnRenamed("id", "rec")).select("key", "group_id").distinct()
-        least = named.groupBy("group_id").agg(F.min("key").alias("group_key"))
+        least = cut(named.groupBy("group_id").agg(F.min("key").alias("group_key")))
         return named.join(least, "group_id").select(F.col("key").alias(self.key), "group_key")
