@@ -63,12 +63,16 @@ def slug(text: Column | str, default: str = "item") -> Column:
 
 
 def text_quality(text: Column | str) -> Column:
-    """Share of printable, of alphanumeric or blank characters, and length, less replacement characters; 0 to 1."""
-    t = _col(text)
+    """Share of printable, of alphanumeric or blank characters, and length, less replacement characters; 0 to 1.
+
+    Of the text without the white space around it; 0 for a blank text, also for null.
+    """
+    white = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]+"
+    t = F.regexp_replace(_col(text), rf"^{white}|{white}$", "")
     n = F.length(t).cast("double")
     count = lambda pattern: F.length(F.regexp_replace(t, pattern, ""))
     printable = count(r"[^\P{C}\n\r\t]|[\p{Z}&&[^ ]]") / n
-    solid = count(r"(?U)[^\p{L}\p{N}\s]") / n
+    solid = count(r"[^\p{L}\p{N}\s\x{1c}-\x{1f}\x{85}\p{Z}]") / n
     broken = (n - F.length(F.replace(t, F.lit("�"), F.lit("")))) / n
     score = 0.55 * printable + 0.30 * F.least(F.lit(1.0), solid / 0.55) + 0.15 * F.least(F.lit(1.0), n / 80) - F.least(F.lit(0.5), 4 * broken)
     return F.when(n > 0, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4)).otherwise(F.lit(0.0))

@@ -104,6 +104,10 @@ def _noise(x: np.ndarray) -> float:
     return max(float(np.median(np.abs(np.diff(x)))) / 0.6745 / math.sqrt(2), 1e-3) ** 2
 
 
+_KEPT = ("first_at", "last_at", "first_row", "last_row", "n", "total", "square", "noise")
+_PARTS = "series string, block long, part int, first_at string, last_at string, first_row long, last_row long, n long, total double, square double, noise double"
+
+
 def _by_block(penalty: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -113,17 +117,14 @@ def _by_block(penalty: float):
                 noise = _noise(x)
                 start = 0
                 for end in optimal_segments(np.ones(len(x)), x, x * x, penalty * noise * math.log(max(len(x), 2))):
-                    part = x[start:end]
-                    out.append((series, block, start, points[start]["at"], points[end - 1]["at"], end - start, float(part.sum()), float((part**2).sum()), noise))
+                    part, a, b = x[start:end], points[start], points[end - 1]
+                    out.append((series, block, start, a["at"], b["at"], a["row"], b["row"], end - start, float(part.sum()), float((part**2).sum()), noise))
                     start = end
-            yield pd.DataFrame(out, columns=["series", "block", "part", "first_at", "last_at", "n", "total", "square", "noise"])
+            yield pd.DataFrame(out, columns=["series", "block", "part", *_KEPT])
 
     return run
 
 
-_PARTS = "series string, block long, part int, first_at string, last_at string, n long, total double, square double, noise double"
-
-
 def _merge(penalty: float):
     """Segments of neighbouring blocks searched again as weighted points, so a shift at a block's edge is no artefact."""
 
@@ -135,9 +136,10 @@ def _merge(penalty: float):
                 noise = float(np.average([p["noise"] for p in parts], weights=w))
                 start = 0
                 for end in optimal_segments(w, s, q, penalty * noise * math.log(max(w.sum(), 2))):
-                    out.append((series, block, start, parts[start]["first_at"], parts[end - 1]["last_at"], int(w[start:end].sum()), float(s[start:end].sum()), float(q[start:end].sum()), noise))
+                    a, b = parts[start], parts[end - 1]
+                    out.append((series, block, start, a["first_at"], b["last_at"], a["first_row"], b["last_row"], int(w[start:end].sum()), float(s[start:end].sum()), float(q[start:end].sum()), noise))
                     start = end
-            yield pd.DataFrame(out, columns=["series", "block", "part", "first_at", "last_at", "n", "total", "square", "noise"])
+            yield pd.DataFrame(out, columns=["series", "block", "part", *_KEPT])
 
     return run
 
@@ -145,8 +147,8 @@ def _merge(penalty: float):
 def _labelled(parts: DataFrame, factors: list[float] | DataFrame, tolerance: float) -> DataFrame:
     """Segments with the known factor between their level and that of the series' longest segment."""
     mean = F.col("total") / F.col("n")
-    level = parts.groupBy("series").agg(F.max_by(mean, F.struct("n", (-F.col("block")).alias("b"), (-F.col("part")).alias("p"))).alias("level"))
-    number = F.row_number().over(Window.partitionBy("series").orderBy("block", "part")) - 1
+    level = cut(parts.groupBy("series").agg(F.max_by(mean, F.struct("n", (-F.col("first_row")).alias("f"))).alias("level")))
+    number = F.row_number().over(Window.partitionBy("series").orderBy("first_row")) - 1
     rows = parts.join(level, "series").withColumn("mean_log", mean).withColumn("shift", mean - F.col("level")).withColumn("segment", number)
     if isinstance(factors, DataFrame):
         logs = factors.where("factor > 0 and factor <> 1").groupBy("dimension").agg(F.collect_set(F.log("factor")).alias("logs"))
@@ -155,34 +157,70 @@ def _labelled(parts: DataFrame, factors: list[float] | DataFrame, tolerance: flo
         rows = rows.withColumn("logs", F.array(*(F.lit(x) for x in sorted({math.log(f) for f in factors if f > 0 and f != 1}))).cast("array<double>"))
     near = F.array_min(F.transform("logs", lambda x: F.struct(F.abs(F.col("shift") - x).alias("far"), x.alias("log"))))
     factor = F.when((near["far"] <= tolerance) & (F.abs("shift") > tolerance), F.exp(near["log"])).otherwise(1.0)
-    return rows.select("series", "segment", "first_at", "last_at", "n", "mean_log", factor.alias("factor"))
+    return rows.select("series", "segment", "first_at", "last_at", "first_row", "last_row", "n", "mean_log", factor.alias("factor"))
+
+
+def _in_rows(history: DataFrame) -> DataFrame:
+    """The usable rows of ``history`` with ``row``, their rank within the series from 0.
+
+    Ranked by a range partitioning in the order of the series, numbered where the rows lie and offset by the
+    counts of the partitions before, of which there are as many as shuffle partitions: no task sorts a hot series.
+    """
+    rows = history.where("value > 0 and value < 1.0e300 and series is not null and at is not null").withColumn("x", F.log("value"))
+    by = ["series", "at", "x"]
+    low = (1 << 33) - 1
+    placed = cut(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_n", F.monotonically_increasing_id()))
+    task = F.shiftright("_n", 33)
+    counts = sorted((r["t"], r["count"]) for r in placed.groupBy(task.alias("t")).count().collect())
+    offsets, before = [], 0
+    for t, n in counts:
+        offsets.append((t, before))
+        before += n
+    known = history.sparkSession.createDataFrame(offsets, "_t long, _before long")
+    numbered = placed.withColumn("_t", task).join(F.broadcast(known), "_t").withColumn("row", F.col("_n").bitwiseAND(F.lit(low)) + F.col("_before")).drop("_n", "_t", "_before")
+    first = cut(numbered.groupBy("series").agg(F.min("row").alias("_first")))
+    return numbered.join(first, "series").withColumn("row", F.col("row") - F.col("_first")).drop("_first")
 
 
 def unit_shifts(history: DataFrame, factors: list[float] | DataFrame, penalty: float = 3.0, tolerance: float = 0.12, block: int = 512) -> DataFrame:
     """(series, segment, first_at, last_at, n, mean_log, factor) of each series' history of positive values.
 
-    ``history`` has series, at (string, its order), place (long, the order's coarse position, by which long
-    histories are divided) and value. Penalised changepoint search (least squares on log values), exact within
-    a block, runs in every block of ``block`` places, then again over the segments of ``FAN`` neighbouring blocks, and
-    so on, so a shift at a block's edge is kept or dropped by the same rule and no task gets a whole hot
-    series. For histories of several blocks that is approximate: a shift too short to be seen on one side of
-    an edge can be lost, and noise and penalty are the block's. The level with most
+    ``history`` has series, at (string, its order) and value. Penalised changepoint search (least squares on
+    log values), exact within a block, runs in every ``block`` successive rows of a series, then again over the segments of ``FAN``
+    neighbouring blocks, and so on, so a shift at a block's edge is kept or dropped by the same rule and no
+    task gets a whole hot series. For histories of several blocks that is approximate: a shift too short to be
+    seen on one side of an edge can be lost, and noise and penalty are the block's. The level with most
     observations is the series' own; a segment whose level differs from it by a known factor was recorded
-    in another unit: dividing its values by ``factor`` reverses that. ``factor`` is 1 elsewhere. ``factors``
-    are those of all series, or a table (dimension, factor) for series that end in ``|dimension``.
+    in another unit: dividing its values by ``factor`` reverses that (``in_own_units``). ``factor`` is 1
+    elsewhere. ``factors`` are those of all series, or a table (dimension, factor) for series that end in ``|dimension``.
 
     Null, zero, negative and non-finite values are ignored; ties in order fall to the value; a single value
     is one segment; repeated rows are repeated observations; an empty history gives no row.
     """
-    points = history.where("value > 0 and value < 1.0e300 and series is not null and at is not null and place is not null").select(
-        "series", F.floor(F.col("place") / block).cast("long").alias("block"), F.struct("at", F.log("value").alias("x")).alias("p")
-    )
+    return _shifts(cut(_in_rows(history.select("series", "at", "value"))), factors, penalty, tolerance, block).drop("first_row", "last_row")
+
+
+def _shifts(rows: DataFrame, factors: list[float] | DataFrame, penalty: float, tolerance: float, block: int) -> DataFrame:
+    points = rows.select("series", F.floor(F.col("row") / block).cast("long").alias("block"), F.struct("row", "at", "x").alias("p"))
     blocks = points.groupBy("series", "block").agg(F.sort_array(F.collect_list("p")).alias("points"))
     parts = cut(blocks.mapInPandas(_by_block(penalty), _PARTS))
-    lo, hi = parts.agg(F.min("block"), F.max("block")).first()
-    parts, steps = parts.withColumn("block", F.col("block") - F.lit(lo or 0)), (hi or 0) - (lo or 0)
+    steps = parts.agg(F.max("block")).first()[0] or 0
     while steps:
-        member = F.struct("block", "part", "first_at", "last_at", "n", "total", "square", "noise")
-        wider = parts.groupBy("series", F.floor(F.col("block") / FAN).cast("long").alias("wide")).agg(F.sort_array(F.collect_list(member)).alias("parts"))
+        wider = parts.groupBy("series", F.floor(F.col("block") / FAN).cast("long").alias("wide")).agg(F.sort_array(F.collect_list(F.struct("block", "part", *_KEPT))).alias("parts"))
         parts, steps = cut(wider.select("series", F.col("wide").alias("block"), "parts").mapInPandas(_merge(penalty), _PARTS)), steps // FAN
     return _labelled(parts, factors, tolerance)
+
+
+def in_own_units(history: DataFrame, factors: list[float] | DataFrame, penalty: float = 3.0, tolerance: float = 0.12, block: int = 512) -> DataFrame:
+    """The usable rows of ``history`` with ``factor`` and ``own_value``: the unit change of ``unit_shifts`` reversed.
+
+    Rows find their segment by the block that they lie in, so a hot series meets in no task. Other columns of
+    ``history`` are kept, but for x, row, segment, factor and own_value.
+    """
+    taken = ("x", "row", "segment", "factor", "own_value", "first_row", "last_row", "block")
+    rows = cut(_in_rows(history.drop(*taken)))
+    parts = _shifts(rows.select("series", "at", "x", "row"), factors, penalty, tolerance, block)
+    over = F.sequence(F.floor(F.col("first_row") / block), F.floor(F.col("last_row") / block))
+    covers = cut(parts.select("series", F.explode(over).alias("block"), "segment", "first_row", "last_row", "factor"))
+    found = rows.withColumn("block", F.floor(F.col("row") / block)).join(covers, ["series", "block"]).where("row between first_row and last_row")
+    return found.withColumn("own_value", F.col("value") / F.col("factor")).drop("x", "row", "block", "first_row", "last_row")

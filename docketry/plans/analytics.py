@@ -235,7 +235,16 @@ def benchmark_phrases(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.phrases(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-@query()
+_WHITE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+"
+
+
+@query(
+    rf"""WITH s AS (SELECT extraction_id, regexp_replace(regexp_replace(coalesce(extracted_text, ''), '^{_WHITE}', ''), '{_WHITE}$', '') t FROM evidence_extractions),
+    k AS (SELECT extraction_id, length(t)::DOUBLE n, length(regexp_replace(t, '[^\p{{C}}\p{{Z}}]', '', 'g')) - length(regexp_replace(t, '[^ \n\r\t]', '', 'g')) hidden,
+      length(regexp_replace(t, '[^\p{{L}}\p{{N}}\s\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]', '', 'g')) solid, length(t) - length(replace(t, chr(65533), '')) broken FROM s)
+    SELECT extraction_id, CASE WHEN n = 0 THEN 0.0 ELSE round(greatest(0.0, least(1.0, 0.55 * (n - hidden) / n + 0.30 * least(1.0, solid / n / 0.55) + 0.15 * least(1.0, n / 80) - least(0.5, 4 * broken / n))), 4) END::DOUBLE quality
+    FROM k"""
+)
 def reading_quality(spark: SparkSession, d: str) -> DataFrame:
     """The computed quality of every reading's text."""
     return table(spark, d, "evidence_extractions", "extraction_id", "extracted_text").select("extraction_id", text_quality("extracted_text").alias("quality"))

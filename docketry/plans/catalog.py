@@ -12,7 +12,7 @@ def flagship(spark, sf_dir: str):
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES) | {"p2_found": quantities.p2_found, "p2_unit_shifts": quantities.p2_unit_shifts}
+    return dict(QUERIES) | {"p2_found": quantities.p2_found, "p2_unit_shifts": quantities.p2_unit_shifts, "p2_own_values": quantities.p2_own_values}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Elements whose text is never shown, and those that end a line (fixed values).
 HIDDEN = frozenset(("script", "style", "noscript", "template", "svg"))
 BLOCKS = frozenset(
-    "address article aside blockquote br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split()
+    "address article aside blockquote br dd div dl dt figcaption footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td th thead tr ul".split()
 )
 #: First bytes of known media, in hexadecimal (fixed values).
 MAGIC = (("255044462D", "application/pdf"), ("504B0304", "application/zip"), ("D0CF11E0A1B11AE1", "application/x-ole-storage"), ("89504E470D0A1A0A", "image/png"), ("FFD8FF", "image/jpeg"))

@@ -16,6 +16,11 @@ def test_visible_text():
     assert documents.visible_text(HTML) == "City Council\nAgenda for May\nMinutes pdf\nTwo&"
 
 
+def test_blocks_of_tables_and_figures():
+    page = "<table><caption>One</caption><thead><tr><th>A</th></tr></thead><tbody><tr><td>B</td></tr></tbody></table>x<figure>y<figcaption>z</figcaption></figure>w<fieldset>v</fieldset>"
+    assert documents.visible_text(page) == "One\nA\nB\nxy\nz\nwv"
+
+
 def test_csv_units():
     units = documents.csv_units(CSV)
     assert [u[1] for u in units] == ["sheet:CSV!A1:C1", "sheet:CSV!A2:C2", "sheet:CSV!A4:B4"]

@@ -56,6 +56,7 @@ def test_excerpt_slug_folded(spark):
 
 
 def quality(t):
+    t = t.strip()
     n = len(t)
     if not n:
         return 0.0
@@ -65,7 +66,7 @@ def quality(t):
 
 
 def test_text_quality(spark):
-    texts = ["", "plain text with words", "###$$$%%%", "bad �� glyphs \x00\x01", "é" * 100, "line\none\ttwo"]
+    texts = ["", "plain text with words", "###$$$%%%", "bad �� glyphs \x00\x01", "é" * 100, "line\none\ttwo", "    ", "  ab  ", " " * 100 + "ab", "\u00a0\u2003 x \x1f"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text.text_quality("t")).collect()]
     assert all(abs(a - quality(t)) < 2e-4 for a, t in zip(got, texts)), list(zip(got, map(quality, texts)))
 

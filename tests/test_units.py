@@ -42,12 +42,16 @@ def test_unit_shift_is_found_across_blocks(spark, block):
     rnd = np.random.default_rng(2)
     value = np.exp(rnd.normal(8, 0.05, 1500))
     value[600:1000] /= 1000
-    rows = [("s", f"{i:06d}", i, float(v)) for i, v in enumerate(value)] + [("s", "999999", 10**6, None), ("t", "000001", 1, 5.0), ("t", "000002", 2, -1.0), (None, "1", 1, 1.0)]
-    history = spark.createDataFrame(rows, "series string, at string, place long, value double")
+    rows = [("s", f"{i:06d}", float(v)) for i, v in enumerate(value)] + [("s", "999999", None), ("t", "000001", 5.0), ("t", "000002", -1.0), (None, "1", 1.0)]
+    history = spark.createDataFrame(rows, "series string, at string, value double").withColumn("row", F.lit(7))
     got = sorted((r["series"], r["first_at"], r["last_at"], r["n"], r["factor"]) for r in units.unit_shifts(history, [1000.0, 1e-3, 10.0], block=block).collect())
     assert [(s, a, b, n) for s, a, b, n, _ in got] == [("s", "000000", "000599", 600), ("s", "000600", "000999", 400), ("s", "001000", "001499", 500), ("t", "000001", "000001", 1)]
     assert [round(f, 6) for *_, f in got] == [1, 0.001, 1, 1]
+    own = {(r["series"], r["at"]): (r["segment"], r["own_value"]) for r in units.in_own_units(history, [1000.0, 1e-3, 10.0], block=block).collect()}
+    assert len(own) == 1501 and [own["s", f"{i:06d}"][0] for i in (0, 599, 600, 999, 1000, 1499)] == [0, 0, 1, 1, 2, 2]
+    assert all(6.5 < np.log(v) < 9.5 for (s, _), (_, v) in own.items() if s == "s") and own["t", "000001"] == (0, 5.0)
     assert units.unit_shifts(history.limit(0), [10.0]).count() == 0
+    assert units.in_own_units(history.limit(0), [10.0]).count() == 0
 
 
 def test_p2_unit_shifts_knows_the_factors_of_each_dimension(spark, tmp_path):
