@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketry.plans import analytics, evidence, indexes, matters, profiles, quantities, visits  # noqa: F401 - importing registers
+from docketry.plans import analytics, evidence, indexes, matters, profiles, quantities, recurrence, visits  # noqa: F401 - importing registers
 from docketry.plans.registry import QUERIES, SQL, Query
 
 
