@@ -196,36 +196,6 @@ def value_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return linkage.conflicts(_populations(spark, d)).select("normalized_anchor", "fact_type", "units", "values")
 
 
-_CASES = """c AS (SELECT artifact_id case_id, coalesce(lower(trim(split_part(media_type, ';', 1))), 'unknown') "mode", false expect_empty FROM artifacts),
-x AS (SELECT DISTINCT artifact_id case_id, evidence_id FROM evidence_units), r AS (SELECT DISTINCT artifact_id case_id, evidence_id FROM evidence_facts WHERE fact_type = 'money'),
-k AS (SELECT c.*, coalesce((SELECT count(*) FROM x WHERE x.case_id = c.case_id), 0) targets, coalesce((SELECT count(*) FROM x JOIN r USING (case_id, evidence_id) WHERE x.case_id = c.case_id), 0) found,
-  coalesce((SELECT count(*) FROM r WHERE r.case_id = c.case_id), 0) returned FROM c)"""
-
-
-def _cases(spark: SparkSession, d: str) -> DataFrame:
-    mode = F.coalesce(F.lower(F.trim(F.split("media_type", ";")[0])), F.lit("unknown"))
-    cases = table(spark, d, "artifacts", "artifact_id", "media_type").select(F.col("artifact_id").alias("case_id"), mode.alias("mode"), F.lit(False).alias("expect_empty"))
-    expected = table(spark, d, "evidence_units", "artifact_id", "evidence_id").withColumnRenamed("artifact_id", "case_id")
-    returned = table(spark, d, "evidence_facts", "artifact_id", "evidence_id", "fact_type").where("fact_type = 'money'").select(F.col("artifact_id").alias("case_id"), "evidence_id")
-    return evaluation.case_results(cases, expected, returned)
-
-
-@query(
-    f"""WITH {_CASES} SELECT case_id, "mode", targets, found, returned, CASE WHEN targets = 0 THEN 'unresolved_target' WHEN found = 0 THEN 'miss_all_targets' WHEN found < targets THEN 'partial_target_recall' END failure FROM k"""
-)
-def retrieval_cases(spark: SparkSession, d: str) -> DataFrame:
-    """Of each artifact, how many units the money index finds."""
-    return _cases(spark, d).select("case_id", "mode", "targets", "found", "returned", "failure")
-
-
-@query(
-    f"""WITH {_CASES} SELECT coalesce("mode", 'all') "mode", count(*) cases, round(avg((found > 0)::INTEGER), 6) hit_rate, round(sum(found) / sum(targets), 6) target_recall FROM k GROUP BY ROLLUP ("mode")"""
-)
-def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Hit rate and recall by media type, and for all."""
-    return evaluation.metrics(_cases(spark, d)).select("mode", "cases", F.round("hit_rate", 6).alias("hit_rate"), F.round("target_recall", 6).alias("target_recall"))
-
-
 @query(
     r"""WITH p AS (SELECT doc_id, lower(regexp_replace(unnest(regexp_extract_all(regexp_replace(text, '[À-ɏ]', '_', 'g'), '\b(?:[A-Z][A-Za-z0-9&''’.-]{2,})(?:\s+(?:[A-Z][A-Za-z0-9&''’.-]{2,})){1,3}\b')), '\s+', ' ', 'g')) phrase FROM documents)
     SELECT phrase, count(DISTINCT doc_id) docs FROM p WHERE length(phrase) >= 7 GROUP BY 1"""

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.operators import evidence, facts, search, segments
 from docketry.plans.evidence import _PREFERRED
 from docketry.plans.registry import query
+from docketry.session import ensure_checkpoint_dir, exists
 from docketry.sources.tables import table
 
 
@@ -143,12 +146,23 @@ def _bm25(terms: list[str], k: int) -> str:
     SELECT id AS evidence_id, round(-s, 6) score FROM s WHERE c = {len(terms)} ORDER BY -s, id LIMIT {k}"""
 
 
-def _index(spark: SparkSession, d: str) -> search.LexicalIndex:
-    return search.build(preferred_text(spark, d), "evidence_id", "extracted_text")
+_stored: dict[tuple[str, str], str] = {}
+
+
+def index(spark: SparkSession, d: str) -> search.LexicalIndex:
+    """The lexical index of the tables below ``d``: built and stored once in a session, in the shared checkpoint folder, read from there after."""
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext.getCheckpointDir()
+    path = _stored.get((folder, d))
+    if path is None or not exists(spark, f"{path}/totals/_SUCCESS"):
+        path = f"{folder}/lexical-{uuid.uuid4().hex}"
+        search.build(preferred_text(spark, d), "evidence_id", "extracted_text").save(path)
+        _stored[folder, d] = path
+    return search.LexicalIndex.load(spark, path)
 
 
 def _search(spark: SparkSession, d: str, text: str, k: int) -> DataFrame:
-    return search.search(_index(spark, d), text, k).select(F.col("id").alias("evidence_id"), F.round("score", 6).alias("score"))
+    return search.search(index(spark, d), text, k).select(F.col("id").alias("evidence_id"), F.round("score", 6).alias("score"))
 
 
 @query(_bm25(["storm", "water", "storage"], 20))
@@ -164,7 +178,7 @@ def bm25_search_rare(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_INDEX} SELECT term, count(*) df, sum(tf)::BIGINT cf FROM posts GROUP BY 1")
 def term_document_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return search.document_frequencies(_index(spark, d))
+    return search.document_frequencies(index(spark, d))
 
 
 #: Items of agendas and legislation start a line with their kind and number.

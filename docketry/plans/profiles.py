@@ -135,24 +135,6 @@ def anchored_money(spark: SparkSession, d: str) -> DataFrame:
     return f.join(found, ["evidence_id", "char_start", "char_end"]).select("fact_id", "evidence_id", "found")
 
 
-@query(
-    """WITH p AS (SELECT DISTINCT lower(trim(regexp_replace(source_name, '\\s+', ' ', 'g'))) phrase FROM sources WHERE source_name IS NOT NULL)
-    SELECT phrase, CASE WHEN len(string_split(phrase, ' ')) < 2 THEN 'too_short' WHEN regexp_matches(phrase, '(^| )(january|february|march|april|may|june|july|august|september|october|november|december)( |$)') THEN 'calendar_heading'
-    WHEN regexp_matches(phrase, ' (of|the|and|for|to)$') THEN 'trailing_incomplete_phrase' WHEN string_split(phrase, ' ')[1] = string_split(phrase, ' ')[-1] THEN 'repeated_edge_token' END reason FROM p"""
-)
-def phrase_quality(spark: SparkSession, d: str) -> DataFrame:
-    """Why a phrase is no good query; null where it is one. The first reason that holds."""
-    p = table(spark, d, "sources", "source_name").where("source_name is not null").select(folded("source_name").alias("phrase")).distinct()
-    words = F.split("phrase", " ")
-    checks = [
-        ("too_short", F.size(words) < 2),
-        ("calendar_heading", F.col("phrase").rlike(r"(^| )(january|february|march|april|may|june|july|august|september|october|november|december)( |$)")),
-        ("trailing_incomplete_phrase", F.col("phrase").rlike(r" (of|the|and|for|to)$")),
-        ("repeated_edge_token", F.element_at(words, 1) == F.element_at(words, -1)),
-    ]
-    return p.select("phrase", links.first_failure(checks).alias("reason"))
-
-
 @query("SELECT source_id, row_number() OVER (ORDER BY sha256(source_uri), source_uri) rank FROM sources ORDER BY 2 LIMIT 32")
 def source_hash_rank(spark: SparkSession, d: str) -> DataFrame:
     """The first thirty-two sources by the hash of their address."""

@@ -212,10 +212,37 @@ def test_references_and_keys(spark):
 
 
 def test_evaluation(spark):
-    cases = spark.createDataFrame([("a", "m", False), ("b", "m", False), ("c", "n", True), ("d", "n", False)], "case_id string, mode string, expect_empty boolean")
-    expected = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "3")], "case_id string, evidence_id string")
-    returned = spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "9"), ("c", "5")], "case_id string, evidence_id string")
+    cases = spark.createDataFrame([("a", "m", False), ("b", "m", False), ("c", "n", True), ("d", "n", False), ("e", "n", True), ("f", "m", False)], "case_id string, mode string, expect_empty boolean")
+    expected = spark.createDataFrame([("a", "t1", "1"), ("a", "t2", "2"), ("b", "t3", "3"), ("d", "t4", None), ("f", "t5", "6")], "case_id string, target string, evidence_id string")
+    returned = spark.createDataFrame([("a", "1", True), ("a", "1", True), ("b", "9", True), ("c", "5", True), ("f", "6", False)], "case_id string, evidence_id string, valid boolean")
     results = evaluation.case_results(cases, expected, returned)
-    assert {r["case_id"]: r["failure"] for r in results.collect()} == {"a": "partial_target_recall", "b": "miss_all_targets", "c": "unexpected_results", "d": "unresolved_target"}
+    assert {r["case_id"]: r["failure"] for r in results.collect()} == {"a": "partial_target_recall", "b": "miss_all_targets", "c": "unexpected_results", "d": "unresolved_target", "e": None, "f": "invalid_provenance"}
     m = {r["mode"]: r for r in evaluation.metrics(results).collect()}
-    assert abs(m["all"]["hit_rate"] - 1 / 3) < 1e-9 and abs(m["m"]["target_recall"] - 1 / 3) < 1e-9 and m["n"]["negative_accuracy"] == 0
+    assert m["all"]["hit_rate"] == 0.5 and abs(m["m"]["target_recall"] - 2 / 4) < 1e-9 and m["n"]["negative_accuracy"] == 0.5 and m["all"]["positives"] == 4 and abs(m["m"]["mean_recall"] - 0.5) < 1e-9
+    s = {r["mode"]: r for r in evaluation.scorable(results).collect()}
+    assert s["all"]["unscorable"] == 1 and s["all"]["cases"] == 5 and s["n"]["positives"] == 0 and s["n"]["hit_rate"] == 1.0
+
+
+def test_phrase_quality(spark):
+    rows = [("Agenda", "too_short"), ("Contact Item Details", "publisher_ui_fragment"), ("Main Street Ward", "trailing_incomplete_phrase"), ("Water over Water", "repeated_edge_token"), ("Special Permit", "generic_heading_start"), ("Budget March Summary", "calendar_heading"), ("Old Ordinance Text", "record_metadata_fragment"), ("The Building Code", "generic_institutional_heading"), ("Old Plans Support", "procedural_boilerplate"), ("GRAND TOTALS", "all_caps_fragment"), ("GRAND BRIDGE", None), ("Harbor Bridge (East)", None)]
+    got = {r["p"]: r["q"] for r in spark.createDataFrame([(p,) for p, _ in rows], "p string").select("p", evaluation.phrase_quality(F.col("p")).alias("q")).collect()}
+    assert {p: q["reason"] for p, q in got.items()} == dict(rows)
+    assert got["Harbor Bridge (East)"][1:] == (1, 1, 2, 16)
+
+
+def test_stored_index_and_many_queries(spark, tmp_path):
+    docs = [(f"d{i:02d}", f"alpha beta {'gamma ' * (i % 4)}word{i}") for i in range(30)]
+    built = search.build(spark.createDataFrame(docs, "k string, t string"), "k", "t")
+    built.save(str(tmp_path / "index"))
+    stored = search.LexicalIndex.load(spark, str(tmp_path / "index"))
+    want = [tuple(r) for r in search.search(built, "gamma beta", 7).collect()]
+    assert [tuple(r) for r in search.search(stored, "gamma beta", 7).collect()] == want
+    cases = spark.createDataFrame([("one", "Gamma, beta"), ("two", "word3"), ("none", "absent beta"), ("blank", " ?! ")], "case_id string, query string")
+    many = search.search_many(stored, cases, 7).orderBy("case_id", "rank").collect()
+    assert [(r["id"], round(r["score"], 9)) for r in many if r["case_id"] == "one"] == [(i, round(x, 9)) for i, x in want]
+    assert [r["id"] for r in many if r["case_id"] == "two"] == ["d03"] and {r["case_id"] for r in many} == {"one", "two"}
+    plan = stored.of_terms(["gamma"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    text = " ".join(f"w{i}" for i in range(40))
+    got = spark.range(1).select(search.snippet(F.lit(text), F.array(F.lit("w20"))).alias("s")).first()["s"]
+    assert got.startswith("… w12 ") and " [w20] " in got and got.endswith(" w35 …")
