@@ -1,18 +1,17 @@
 """Repairing the noise in text from scanned and laid-out pages.
 
-Words are grouped by the skeleton that confusable glyphs share, and a form that the corpus supports stands
-for its group; lines are recognised as running heads with page numbers and noise masked; what is left is
-joined across lines and reflowed into paragraphs.
+Words are grouped by the skeleton that confusable glyphs share, and a frequent form that the neighbours support
+stands for its group; lines are recognised as running heads with figures masked; what is left is joined across
+lines and reflowed into paragraphs.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.session import cut
@@ -23,12 +22,15 @@ STROKES = {
     "0": "o", "5": "s", "8": "b", "6": "b", "@": "a", "q": "g", "9": "g",
 }
 _STROKES = str.maketrans(STROKES)
+_DIGITS = str.maketrans("OoIlSB", "001158")
 #: Letters that stand for digits in a number (fixed values).
 DIGIT_LETTERS = "OoIlSB"
-#: A form needs one in so many of all words to be taken for known; so there are at most as many known forms.
-KNOWN_ONE_IN = 500_000
-#: A form with less than this share of its group's most frequent form is a misreading of it.
+#: Occurrences in the corpus from which a form of letters is known, whatever the corpus' size.
+KNOWN = 3
+#: A form with less than this share of its group's most frequent form is no known word but a misreading of it.
 RARE = 0.15
+#: A title with figures is a head where this share of its lines stand first or last in their text.
+AT_EDGE = 0.9
 
 _HYPHEN = "-¬­‐"
 _BROKEN = re.compile(rf"(?<=[^\W\d_])[{_HYPHEN}][ \t]*\n\s*(?=\S)")
@@ -41,7 +43,8 @@ _PAGE_START = re.compile(rf"^(?:page|pg\.?|p\.)\s*{_NUMBER}{_OF}[\s|,·–—-]+
 _CONTINUED = re.compile(r"\s*\((?:cont\.?|cont'd|continued)\)\s*$", re.IGNORECASE)
 _COPY = re.compile(r"^[^\W\d_][\w'’]* copy:\s*", re.IGNORECASE)
 _LETTERS = re.compile(r"[^\W\d_]+")
-_WORD = re.compile(r"[^\W\d_][\w@]*(?<=[\w@])")
+_WORD = re.compile(r"[^\W\d_][\w@]*")
+_WORDS = r"(?U)\p{L}[\w@]*"
 _GLYPHED = re.compile(rf"(?<![\w])\$?(?=[.,/\d{DIGIT_LETTERS}-]*\d)(?=[.,/\d-]*[{DIGIT_LETTERS}])[\d{DIGIT_LETTERS}]+(?:[.,/-][\d{DIGIT_LETTERS}]+)*(?:MM|M|K|k|BN|N)?(?![\w])")
 _LETTERED = re.compile(r"(?<=\d-)[A-HK](?=[\dOIlSB]{2}(?!\w))(?=\d?[OIlSB])[\dOIlSB]{2}")
 
@@ -56,16 +59,16 @@ def page_number(line: str) -> bool:
 
 
 def head(line: str) -> tuple[str, bool, bool] | None:
-    """(title, page number within, marked) if the line has the looks of a running head."""
+    """(title with figures masked, page number within, marked) if the line has the looks of a running head."""
     bare = _PAGE_START.sub("", _PAGE_END.sub("", line)).strip()
     page = bare != line
     title = _COPY.sub("", _CONTINUED.sub("", bare)).strip()
-    if not title or len(title) > 80 or title[-1] in ".,;:" + _HYPHEN or re.search(r"\d{2}", title):
+    if not title or len(title) > 80 or title[-1] in ".,;:" + _HYPHEN:
         return None
     words = _LETTERS.findall(title)
     if len(words) < 2 or not any(len(w) >= 4 for w in words) or not all(w[0].isupper() or not w.isascii() for w in words if len(w) >= 4):
         return None
-    return title, page, page or title != bare
+    return re.sub(r"\d+", "#", title), page, page or title != bare
 
 
 def numbers_misread(text: str) -> bool:
@@ -83,197 +86,192 @@ def _lines(text: str) -> list[str]:
     return [x.strip() for x in text.replace("\r\n", "\n").replace("\r", "\n").split("\n")]
 
 
-def _flow(text: str) -> str:
-    """The text without page numbers and marked heads, broken words joined."""
-    kept = []
-    for line in _lines(text):
-        if line and (page_number(line) or (h := head(line)) and h[2]):
-            continue
-        kept.append(line)
-    return _BROKEN.sub("", "\n".join(kept))
+def _titles(lines: list[str]) -> list[tuple[str, bool] | None]:
+    """For each line the (skeleton of its title, whether it is first or last) if only other texts can tell whether it is a head."""
+    full = [k for k, x in enumerate(lines) if x]
+    out: list[tuple[str, bool] | None] = [None] * len(lines)
+    for k in full:
+        if not page_number(lines[k]) and (h := head(lines[k])) and not h[2]:
+            out[k] = (skeleton(h[0]), k in (full[0], full[-1]))
+    return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tally: Counter[str] = Counter()
+_READ = "key string, grp string, kinds array<string>, heads array<struct<title:string,edge:boolean>>, flow string, whole boolean"
 
-    def rows() -> pa.RecordBatch:
-        return pa.record_batch({"word": pa.array(list(tally), pa.string()), "n": pa.array(list(tally.values()), pa.int64())})
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each reading's lines show, and its text without page numbers and marked heads, broken words joined."""
+    heads_type = pa.list_(pa.struct([("title", pa.string()), ("edge", pa.bool_())]))
     for batch in batches:
+        out: dict[str, list] = {"kinds": [], "heads": [], "flow": [], "whole": []}
         for text in batch.column("text").to_pylist():
-            tally.update(w.lower() for w in _LETTERS.findall(_flow(text)))
-        if len(tally) > 200_000:
-            yield rows()
-            tally = Counter()
-    yield rows()
-
+            lines = [x for x in _lines(text) if x]
+            kinds, body = set(), []
+            for line in lines:
+                if page_number(line):
+                    kinds.add("page_no")
+                    continue
+                h = head(line)
+                if h and h[1]:
+                    kinds.add("page_no")
+                if h and h[2]:
+                    kinds.add("running_head")
+                else:
+                    body.append(line)
+            if any(line[-1] in _HYPHEN and len(line) > 1 and line[-2].isalpha() for line in lines[:-1]):
+                kinds.add("broken_word")
+            flow = _BROKEN.sub("", "\n".join(body))
+            if numbers_misread(flow):
+                kinds.add("misread")
+            out["kinds"].append(sorted(kinds))
+            out["heads"].append([{"title": t[0], "edge": t[1]} for t in _titles(lines) if t])
+            out["flow"].append(flow)
+            out["whole"].append(not flow.rstrip()[-1:].isalnum())  # the last word may be cut off
+        yield pa.record_batch({
+            "key": batch.column("key"), "grp": batch.column("grp"), "kinds": pa.array(out["kinds"], pa.list_(pa.string())), "heads": pa.array(out["heads"], heads_type),
+            "flow": pa.array(out["flow"], pa.string()), "whole": pa.array(out["whole"], pa.bool_()),
+        })
+
+
+def _skeletons(word: Column) -> Column:
+    """``skeleton`` of lower-case words in the JVM: glyphs of one stroke first, which make none of two."""
+    one = {k: v for k, v in STROKES.items() if len(v) == 1}
+    out = F.translate(word, "".join(one), "".join(one.values()))
+    for k, v in STROKES.items():
+        if len(v) > 1:
+            out = F.replace(out, F.lit(k), F.lit(v))
+    return out
+
+
+def _words(flows: DataFrame) -> Column:
+    found = F.regexp_extract_all(F.lower("flow"), F.lit(_WORDS), F.lit(0))
+    return F.get(F.transform(F.array(found), lambda a: F.when(F.col("whole"), a).otherwise(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))))), F.lit(0))
+
+
+def misreadings(flows: DataFrame) -> DataFrame:
+    """(key, word, right): the words of each text (key, flow, whole) that are misread, with the form they stand for.
+
+    Forms are grouped by the skeleton that confusable glyphs share. A form of letters is known from ``KNOWN``
+    occurrences and ``RARE`` of its group's most frequent form on; any other form of the group is a misreading.
+    Where a group has several known forms, or the other form occurs ``KNOWN`` times itself and so may be a rare
+    word, its neighbours decide: the known form that the corpus has most often beside the same neighbours is
+    taken, and a form that may be a rare word is let be where no known form has ever stood beside them. Short
+    words need a very frequent form. All forms are tables, joined and never collected; which of them are
+    broadcast is left to the optimizer's size check.
+    """
+    words = flows.select(F.explode(_words(flows)).alias("word"))
+    counts = cut(words.groupBy("word").agg(F.count("*").alias("n")).where(F.length("word") > 1).withColumn("s", _skeletons(F.col("word"))))
+    common = counts.where((F.col("n") >= KNOWN) & F.col("word").rlike(r"^\p{L}+$"))
+    best = cut(common.groupBy("s").agg(F.max(F.struct("n", "word")).alias("best")))
+    known = cut(common.join(best, "s").where(F.col("n") >= RARE * F.col("best.n")).select("s", "word", "n"))
+    total = known.agg(F.sum("n")).first()[0] or 0
+    rivals = known.groupBy("s").agg(F.count("*").alias("rivals"))
+    enough = F.when(F.length("word") < 3, 0.001).when(F.length("word") < 4, 0.0002).otherwise(0.0) * float(total)
+    another = F.col("word").rlike(r"^\p{L}+$") | F.substring("word", 2, 1 << 20).rlike(r"\p{L}")
+    wrong = counts.join(known.select("word"), "word", "left_anti").join(best, "s").where((F.col("best.word") != F.col("word")) & another & (F.col("best.n") >= enough))
+    fixes = cut(wrong.join(rivals, "s").select("word", "s", F.col("best.word").alias("right"), ((F.col("rivals") > 1) | (F.col("n") >= KNOWN)).alias("open"), (F.col("n") >= KNOWN).alias("rare")))
+
+    beside = F.get(F.transform(F.array(_words(flows)), lambda a: F.transform(a, lambda x, i: F.struct(x.alias("word"), F.get(a, i - 1).alias("prev"), F.get(a, i + 1).alias("next")))), F.lit(0))
+    tokens = flows.select("key", F.explode(beside).alias("t")).select("key", "t.*")
+    hits = tokens.join(fixes, "word")
+    plain = hits.where("not open").select("key", "word", "right")
+    doubtful = cut(hits.where("open").select("key", "word", "prev", "next", "s", "rare"))
+    forms = cut(doubtful.select("word", "s").distinct().join(known.withColumnRenamed("word", "right"), "s").select("word", "right", F.col("n").alias("often")))
+    sought = cut(forms.select(F.col("right").alias("word")).distinct())
+    near = tokens.join(sought, "word")
+    seen = [cut(near.where(f"{side} is not null").groupBy(side, F.col("word").alias("right")).agg(F.count("*").alias(f"n_{side}"))) for side in ("prev", "next")]
+    scored = doubtful.join(forms, "word").join(seen[0], ["prev", "right"], "left").join(seen[1], ["next", "right"], "left")
+    votes = scored.groupBy("key", "word", "right").agg(F.sum(F.coalesce("n_prev", F.lit(0)) + F.coalesce("n_next", F.lit(0))).alias("support"), F.max("often").alias("often"), F.bool_or("rare").alias("rare"))
+    top = F.max(F.struct("support", "often", "right"))
+    decided = votes.groupBy("key", "word").agg(top.alias("b"), F.bool_or("rare").alias("rare")).where("b.support > 0 or not rare").select("key", "word", F.col("b.right").alias("right"))
+    return plain.distinct().unionByName(decided)
+
+
+def _recurring(titles: DataFrame, by: str) -> DataFrame:
+    """(title): of lines in the shape of a head (title, edge and ``by``) those that stand in two of ``by`` or more.
+
+    Titles with masked figures must stand first or last in their texts, as headings of numbered items don't.
+    """
+    groups = titles.groupBy("title").agg(F.min(by).alias("a"), F.max(by).alias("b"), F.avg(F.col("edge").cast("double")).alias("at_edge"))
+    return cut(groups.where(F.col("a") < F.col("b")).where(~F.col("title").contains("#") | (F.col("at_edge") >= AT_EDGE)).select("title"))
 
-def known_words(texts: DataFrame) -> dict[str, int]:
-    """Frequent words of all texts (column text) that are no misreading of a far more frequent one.
 
-    Counted over all texts; a word must be one in ``KNOWN_ONE_IN``, and occur three times, which bounds
-    the result at ``KNOWN_ONE_IN`` words however many texts there are.
-    """
-    counts = cut(texts.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    frequent = {r["word"]: r["n"] for r in counts.where((F.col("n") >= max(3, -(-total // KNOWN_ONE_IN))) & (F.length("word") > 1)).toLocalIterator()}
-    best: dict[str, int] = {}
-    for w, n in frequent.items():
-        s = skeleton(w)
-        best[s] = max(best.get(s, 0), n)
-    return {w: n for w, n in frequent.items() if n >= RARE * best[skeleton(w)]}
-
-
-class Reader:
-    """Knows the corpus' words; finds and mends misread ones."""
-
-    def __init__(self, known: dict[str, int]):
-        self.known = known
-        self.total = sum(known.values())
-        self.best: dict[str, str] = {}
-        for w, n in known.items():
-            s = skeleton(w)
-            if s not in self.best or (n, w) > (known[self.best[s]], self.best[s]):
-                self.best[s] = w
-
-    def right(self, word: str) -> str | None:
-        """The known word that ``word`` is a misreading of, if it is one."""
-        low = word.lower()
-        if low in self.known or len(low) < 2:
-            return None
-        if not low.isalpha() and not re.search(r"[^\W\d_]", low[1:] if low[0].isalpha() else low):
-            return None
-        best = self.best.get(skeleton(low))
-        if not best or best == low or len(low) < 4 and self.known[best] < (0.001 if len(low) < 3 else 0.0002) * self.total:
-            return None
-        return best
-
-    def misread(self, flow: str) -> bool:
-        if numbers_misread(flow):
-            return True
-        seen = set(_WORD.findall(flow))
-        if flow.rstrip()[-1:].isalnum():  # the last word may be cut off
-            seen.discard((_WORD.findall(flow[-40:]) or [""])[-1])
-        return any(self.right(w) for w in seen)
-
-
-def _kinds(known: dict[str, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(known)
-        for batch in batches:
-            out: list[tuple[str, str | None, str, str | None]] = []
-            for key, grp, text in zip(*(batch.column(c).to_pylist() for c in ("key", "grp", "text"))):
-                lines = [x for x in _lines(text) if x]
-                kinds = set()
-                body = []
-                for k, line in enumerate(lines):
-                    if page_number(line):
-                        kinds.add("page_no")
-                        continue
-                    h = head(line)
-                    if h and h[1]:
-                        kinds.add("page_no")
-                    if h and (h[2] or _alone(lines, k, h[0])):
-                        kinds.add("running_head")
-                    elif h:
-                        out.append((key, grp, "head", skeleton(h[0])))
-                    if not (h and h[2]):
-                        body.append(line)
-                if any(line[-1] in _HYPHEN and len(line) > 1 and line[-2].isalpha() for line in lines[:-1]):
-                    kinds.add("broken_word")
-                flow = _BROKEN.sub("", "\n".join(body))
-                if reader.misread(flow):
-                    kinds.add("misread")
-                out += [(key, grp, kind, None) for kind in kinds]
-            yield pa.record_batch({n: pa.array([o[i] for o in out], pa.string()) for i, n in enumerate(("key", "grp", "kind", "line"))})
-
-    return run
-
-
-def _alone(lines: list[str], k: int, title: str) -> bool:
-    """A short line in title case that no sentence runs through: nothing else on a page looks so."""
-    words = _LETTERS.findall(title)
-    if len(title) > 60 or len(words) < 3 or not (words[-1][0].isupper() and len(words[-1]) >= 4) or len(lines) < 2:
-        return False
-    if k == len(lines) - 1:
-        return lines[k - 1][-1] in ".!?" or page_number(lines[k - 1])
-    return True
+def _rows(readings: DataFrame, key: str, group: str | None, text: str) -> DataFrame:
+    rows = readings.select(F.col(key).alias("key"), F.col(group or key).alias("grp"), F.col(text).alias("text")).where("key is not null and text is not null and text <> ''")
+    return rows.groupBy("key").agg(F.max("grp").alias("grp"), F.max("text").alias("text"))
 
 
 def noise(readings: DataFrame, key: str, group: str, text: str) -> DataFrame:
     """(key, noise_kind): broken_word, misread, running_head, page_no - each kind of noise that a reading holds.
 
-    Lines in the shape of a head that carry no mark of one must stand in readings of two groups or more.
-    Null keys and null and empty texts have no rows; rows of one key are one reading; an empty input gives
-    no row. Two passes over the texts, the first only counting words; the known words are the only thing
-    broadcast, and their number is bounded.
+    A line in the shape of a head that carries no mark of one (a page number, ``continued``) must stand, figures
+    masked, in readings of two groups or more. Null keys and null and empty texts have no rows; rows of one key are
+    one reading; an empty input gives no row. Texts are read once; words are counted and looked up as tables.
     """
-    rows = readings.select(F.col(key).alias("key"), F.col(group).alias("grp"), F.col(text).alias("text")).where("key is not null and text is not null and text <> ''")
-    known = known_words(rows)
-    found = cut(rows.mapInArrow(_kinds(known), "key string, grp string, kind string, line string"))
-    heads = found.where("kind = 'head'")
-    titles = heads.groupBy("line").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where("a < b").select("line")
-    running = heads.join(titles, "line").select("key", F.lit("running_head").alias("noise_kind"))
-    plain = found.where("kind <> 'head'").select("key", F.col("kind").alias("noise_kind"))
-    return plain.unionByName(running).distinct().withColumnRenamed("key", key)
+    flows = cut(_rows(readings, key, group, text).mapInArrow(_read, _READ))
+    heads = flows.select("key", "grp", F.explode("heads").alias("h")).select("key", "grp", "h.title", "h.edge")
+    running = heads.join(_recurring(heads, "grp"), "title").select("key", F.lit("running_head").alias("noise_kind"))
+    plain = flows.select("key", F.explode("kinds").alias("noise_kind"))
+    misread = misreadings(flows).select("key", F.lit("misread").alias("noise_kind"))
+    return plain.unionByName(running).unionByName(misread).distinct().withColumnRenamed("key", key)
 
 
-def _mend(known: dict[str, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(known)
+def _mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paragraphs with the misread words (map of lower-case form to right form) and numbers put right."""
 
-        def word(m: re.Match) -> str:
-            right = reader.right(m[0])
-            if not right:
-                return m[0]
-            return right.upper() if m[0].isupper() and len(m[0]) > 1 else right.capitalize() if m[0][0].isupper() else right
+    def number(m: re.Match) -> str:
+        whole = m[0]
+        return whole if not numbers_misread(m.string[max(0, m.start() - 4) : m.end()]) else whole.translate(_DIGITS)
 
-        def number(m: re.Match) -> str:
-            whole = m[0]
-            return whole if not numbers_misread(m.string[max(0, m.start() - 4) : m.end()]) else whole.translate(str.maketrans("OoIlSB", "001158"))
+    for batch in batches:
+        texts = []
+        for text, pairs in zip(batch.column("text").to_pylist(), batch.column("rights").to_pylist()):
+            rights = dict(pairs or ())
 
-        for batch in batches:
-            texts = [_WORD.sub(word, _GLYPHED.sub(number, t)) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch({"key": batch.column("key"), "paragraph": batch.column("paragraph"), "text": pa.array(texts, pa.string())})
+            def word(m: re.Match) -> str:
+                right = rights.get(m[0].lower())  # noqa: B023 - used at once
+                if not right:
+                    return m[0]
+                return right.upper() if m[0].isupper() and len(m[0]) > 1 else right.capitalize() if m[0][0].isupper() else right
 
-    return run
+            text = _GLYPHED.sub(number, text)
+            texts.append(_WORD.sub(word, text) if rights else text)
+        yield pa.record_batch({"key": batch.column("key"), "paragraph": batch.column("paragraph"), "text": pa.array(texts, pa.string())})
 
 
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines of each reading that are neither page number nor sure running head; with its title, if one may be a head."""
+    """Lines of each reading that are neither page number nor marked head; with its title, if one may be a head."""
     for batch in batches:
-        keys, places, lines, titles = [], [], [], []
+        keys, places, lines, titles, edges = [], [], [], [], []
         for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
             own = _lines(text)
-            full = [x for x in own if x]
-            at = -1
-            for place, line in enumerate(own):
-                at += bool(line)
-                h = head(line) if line else None
-                if line and (page_number(line) or h and (h[2] or _alone(full, at, h[0]))):
+            for place, (line, title) in enumerate(zip(own, _titles(own))):
+                if line and (page_number(line) or (h := head(line)) and h[2]):
                     continue
-                titles.append(skeleton(h[0]) if h else None)
+                titles.append(title and title[0])
+                edges.append(title and title[1])
                 keys.append(key)
                 places.append(place)
                 lines.append(line)
-        yield pa.record_batch({"key": pa.array(keys, pa.string()), "place": pa.array(places, pa.int32()), "line": pa.array(lines, pa.string()), "title": pa.array(titles, pa.string())})
+        yield pa.record_batch({"key": pa.array(keys, pa.string()), "place": pa.array(places, pa.int32()), "line": pa.array(lines, pa.string()), "title": pa.array(titles, pa.string()), "edge": pa.array(edges, pa.bool_())})
 
 
 def repaired(readings: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text): every reading as continuous paragraphs, one per line.
 
-    Page numbers and running heads go (lines in the shape of a head where they mark one, stand alone or
-    recur in another reading), words broken over a line end are joined, misread words and digits
+    Page numbers and running heads go (lines in the shape of a head where they carry a mark of one or recur in
+    another reading; see ``noise``), words broken over a line end are joined, misread words and digits
     take the form that the corpus supports, and lines are reflowed by SQL windows over each reading's lines:
-    a blank line, or the end of a sentence before a line that starts a new item, ends a paragraph.
+    a blank line, or the end of a sentence before a line that starts a new item, ends a paragraph. Null keys and
+    null and empty texts have no rows; rows of one key are one reading; an empty input gives no row.
     """
-    rows = readings.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null").groupBy("key").agg(F.max("text").alias("text"))
-    known = known_words(rows)
+    rows = _rows(readings, key, None, text)
+    wrong = misreadings(cut(rows.mapInArrow(_read, _READ)).select("key", "flow", "whole"))
+    rights = cut(wrong.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("word", "right"))).alias("rights")))
     w = Window.partitionBy("key").orderBy("place")
-    every = cut(rows.mapInArrow(_drop, "key string, place int, line string, title string"))
+    every = cut(rows.mapInArrow(_drop, "key string, place int, line string, title string, edge boolean"))
     doubtful = every.where("title is not null")
-    known_titles = doubtful.groupBy("title").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("title")
-    lines = every.where("title is null").unionByName(doubtful.join(known_titles, "title", "left_anti")).drop("title")
+    lines = every.where("title is null").unionByName(doubtful.join(_recurring(doubtful, "key"), "title", "left_anti")).drop("title", "edge")
     full = lines.withColumn("blank", F.col("line") == "").withColumn("gap", F.lag("blank", 1, False).over(w)).where("not blank")
     before = F.lag("line").over(w)
     starts = F.col("gap") & before.rlike(r"[.!?:]$|\d$") | (before.rlike(r"[.!?]$|^\S+ (No\. )?\d") & F.col("line").rlike(r"^(?i)(ordinance|resolution|item|ord\.|res\.)\s"))
@@ -282,6 +280,6 @@ def repaired(readings: DataFrame, key: str, text: str) -> DataFrame:
     joined = numbered.groupBy("key", "paragraph").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("l"))
     body = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
     flowed = F.regexp_replace(F.regexp_replace(body, rf"(?<=\p{{L}})[{_HYPHEN}]\n", ""), "\n", " ")
-    mended = joined.select("key", "paragraph", flowed.alias("text")).mapInArrow(_mend(known), "key string, paragraph long, text string")
+    mended = joined.select("key", "paragraph", flowed.alias("text")).join(rights, "key", "left").mapInArrow(_mend, "key string, paragraph long, text string")
     out = mended.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("paragraph", "text"))).alias("p"))
     return out.select(F.col("key").alias(key), F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias(text))

@@ -24,7 +24,7 @@ def corpus():
 
 
 def frame(spark, rows):
-    return spark.createDataFrame(rows, "k string, g string, t string").withColumn("key", F.lit("x")).withColumn("text", F.lit("clash")).withColumn("line", F.lit("x"))
+    return spark.createDataFrame(rows, "k string, g string, t string").withColumn("key", F.lit("x")).withColumn("text", F.lit("clash")).withColumn("line", F.lit("x")).withColumn("s", F.lit("x"))
 
 
 def test_kinds(spark):
@@ -47,6 +47,33 @@ def test_repair(spark):
     assert out["p3"] == out["p3"].strip() and PLAIN in out["p3"]
 
 
+def test_single_headings_stay(spark):
+    rows = [*corpus(), ("own", "uw", "Item 2 of 2020\nThe contractor shall repair the culvert.\nCapital Improvement Program Overview\nThe council shall report the number of employees.")]
+    out = {r["k"]: r["t"] for r in scanned.repaired(frame(spark, rows), "k", "t").collect()}
+    assert "Capital Improvement Program Overview" in out["own"]
+    assert ("own", "running_head") not in {tuple(r) for r in scanned.noise(frame(spark, rows), "k", "g", "t").collect()}
+
+
+def test_heads_with_figures(spark):
+    assert scanned.head("City of Akron 2026 Budget Page 3") == ("City of Akron # Budget", True, True)
+    rows = [*corpus()] + [(f"m{i}", f"um{i}", f"Council Minutes March {i + 3}, 2024\nItem No. {i}-2020\n{PLAIN}\nItem No. {i + 50}-2020\n{PLAIN}") for i in range(4)]
+    got = {r["k"] for r in scanned.noise(frame(spark, rows), "k", "g", "t").collect() if r["noise_kind"] == "running_head"}
+    assert {f"m{i}" for i in range(4)} <= got and not any(k.startswith("p") and k[1:].isdigit() for k in got)
+    out = {r["k"]: r["t"] for r in scanned.repaired(frame(spark, rows), "k", "t").collect()}
+    assert "Council Minutes" not in out["m1"] and out["m1"].count("Item No.") == 2
+
+
+def test_neighbours_decide(spark):
+    rows = [(f"a{i}", f"a{i}", "We heard the modern burn of the mill.") for i in range(200)] + [(f"c{i}", f"c{i}", "They swept the old barn by the road.") for i in range(200)]
+    rows += [(f"d{i}", f"d{i}", "He read dear letters aloud today.") for i in range(40)] + [(f"e{i}", f"e{i}", "Skies were clear above town today.") for i in range(40)]
+    rows += [("x", "x", "Skies were c1ear above town today."), ("y", "y", "He read d3ar letters aloud today."), ("z", "z", "He read cIear letters aloud today.")]
+    rows += [(f"r{i}", f"r{i}", "Old folk call this hillside rnodern gate field.") for i in range(4)] + [("w", "w", "We heard the rnodern burn of the mill.")]
+    wrong = {(r["key"], r["word"]): r["right"] for r in scanned.misreadings(scanned._rows(frame(spark, rows), "k", "g", "t").mapInArrow(scanned._read, scanned._READ)).collect()}
+    assert wrong["x", "c1ear"] == "clear" and wrong["z", "ciear"] == "dear"
+    assert wrong["w", "rnodern"] == "modern"  # its neighbours are those of the known form
+    assert not any(k.startswith("r") for k, _ in wrong)  # beside these no known form has stood
+
+
 def test_page_numbers():
     assert all(scanned.page_number(x) for x in ("12", "- 3 -", "—9—", "[4]", "Page 7 of 12", "pg 9", "p. 4", "xlvi", "iii", "Page l2"))
     assert not any(scanned.page_number(x) for x in ("civil", "lot 12.", "9-9.", "12.", "I am", "page 9 of the report.", "Docket 2020.1", ""))
