@@ -1,19 +1,25 @@
 """Finding personal data in free text and replacing it by typed placeholders.
 
-Patterns propose spans with a base score; checksums confirm or refute numbers that have them; words nearby
-raise or lower the score; spans of at least ``ACCEPT`` stay, the earlier kind winning where two overlap.
+Patterns propose spans with a base score; checksums and issue rules confirm or refute numbers that have them;
+words nearby raise or lower the score; spans of at least ``ACCEPT`` stay, the earlier kind winning where two overlap.
+Names are found by given names, titles and initials, and where none is known by two capitalised words of which
+neither is an ordinary word of a public vocabulary, if what stands around them speaks of a person.
 """
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry.llm.tokens import FOLDER, VOCABULARY
+
 ACCEPT = 0.5
 #: Common given names (fixed values).
 GIVEN = frozenset(
@@ -38,6 +44,10 @@ NOT_SURNAMES = frozenset(
     museum airport station inc llc ltd co corp corporation company group systems services supply associates engineering contracting paving environmental partners holdings
     foundation trust bank university college department division board commission committee council""".split()
 )
+#: Articles and the like that begin no name (fixed values).
+_ARTICLES = frozenset("the a an el la los las un una unos unas lo al del de en y e o u su sus por para con sin esta este estas estos".split())
+#: A vocabulary of many languages beside the English one.
+MANY_LANGUAGES = "byte_bpe_multi_50k.tiktoken"
 #: Words that may follow a name although they are no surnames: bodies and posts (fixed values).
 _CIVIC = frozenset("council commission committee board division department school county city township village".split())
 _SPACE = r"[  ]"
@@ -48,29 +58,32 @@ _SUFFIX = rf"(?:,?{_SPACE}(?:Sr|Jr|SR|JR)\b\.?|{_SPACE}(?:III|II|IV)\b)?"
 _AFTER_GIVEN = re.compile(rf"(?:-{_CAP})?(?:{_SPACE}[^\W\d_a-z]\.)*{_SPACE}{_SURNAME}{_SUFFIX}")
 _GIVEN_SECOND = re.compile(rf"(?:{_SPACE}[^\W\d_a-z]\.)*(?={_SPACE}*[;,.)\n]|{_SPACE}+[a-zñ]|$)")
 _WORD = re.compile(_CAP)
-_LAST_FIRST = re.compile(rf"(?<![\w'’-])({_CAP}(?:-{_CAP})*),.$", re.DOTALL)
+_LAST_FIRST = re.compile(rf"(?<![\w'’-])({_CAP}(?:-{_CAP})*),\s?$")
 _NEXT = re.compile(rf"{_SPACE}(?:&{_SPACE}\w+|({_CAP}))")
 _TITLED = re.compile(rf"\b(?:M(?:rs?|s|x|iss)|Dr|Prof|Rev|Hon|(?:[Ee]l|[Ll]a|[Aa]l)\s(?:[Ss]r|[Ss]ra|[Ss]rta)|[Ss]eñor(?:a|ita)?|[Dd]oña|[Dd]on)\b\.?{_SPACE}+(?=[A-ZÀ-Þ])")
 _AFTER_TITLE = re.compile(rf"(?:(?:{_CAP}|[A-Z]\.){_SPACE})?(?:[A-Z]\.{_SPACE})?{_SURNAME}{_SUFFIX}")
 _SUR_ONLY = re.compile(rf"{_SURNAME}{_SUFFIX}")
 _INITIAL = re.compile(rf"(?<![\w.'’&])(?<!\w-)(?<!\d )(?<!\d )(?<!Unit )(?<!Apt )(?<!Suite )(?<!Apt\. )(?:[^\W\d_a-z]\.{_SPACE}?){{1,2}}(?<=[  ]){_SURNAME}{_SUFFIX}")
-_NAME_CUE = re.compile(
-    r"(?:\bdear|\bsigned,|\bfrom:|\bapplicant:|\bapplicant|\btenant|\battention|\bcouncil ?member|\bcouncil(?:wo)?man|\bsubmitted by|\bpresentado por|\bfirmado:|\bsolicitante|"
-    r"\binspector|\bmy name is|\bavisos a|\bwidow of|\bthe home of|\bis owed to|\baccording to|\bthe dog of|\bpetition lists|\bat the counter by|\bcomplaint, which|\bwitness(?:es)?:?|\bthanks,? ?-|\bpayee|\bheirs?:|\broll call:)\s*-?$",
+#: What stands before and after the name of a person in letters, lists and minutes of any kind (fixed values).
+_PERSON_BEFORE = re.compile(
+    r"(?:\b(?:applicant|tenant|owner|resident|contact|attention|attn|dear|signed|submitted by|from|payee|witness(?:es)?|inspector|solicitante|firmado|presentado por|vecin[oa]|nombre|"
+    r"council ?(?:member|man|woman)|commissioner|director|mayor|clerk|chair|heirs?|widow(?:er)? of|name is|according to|sincerely|regards|thanks|mr|mrs|ms|dr|señora?)\b[\s:,;.–—-]*)$",
     re.IGNORECASE,
 )
-_CUED = re.compile(rf"{_CAP}(?:{_SPACE}[^\W\d_a-z]\.)?{_SPACE}{_SURNAME}{_SUFFIX}")
-_CUED_LAST = re.compile(rf"{_SURNAME},{_SPACE}{_CAP}(?=[;,.\n])")
-_CUES = re.compile(
-    r"\b(?:[Dd]ear|[Ss]igned,|From:|[Aa]pplicant:|[Tt]enant|[Aa]ttention|Council member|[Ss]ubmitted by|[Pp]resentado por|Firmado:|solicitante|inspector|My name is|Avisos a|[Ww]idow of|the home of|is owed to|"
-    rf"[Aa]ccording to|The dog of|petition lists|at the counter by|complaint, which|thanks|Payee|Heirs:){_SPACE}*-?(?=[A-ZÀ-Þ])"
+_PERSON_AFTER = re.compile(
+    r"\s*(?:,?\s*\(?(?:tel|phone|cell|e-?mail)\b|,?\s*\d{1,6}\s+[A-Z]|,?\s*(?:who|whose)\b|(?:said|says|asked|asks|wrote|writes|stated|called|claims|lives|resides|moved|seconded|spoke|owns|applied|complained|testified|vive|dijo|llamó)\b)",
+    re.IGNORECASE,
 )
+#: What stands before the name of a place, a street or a firm (fixed values).
+_PLACE_BEFORE = re.compile(r"\b(?:the|in|at|near|on|along|across|through|between|of|and|&|per|en|del?|la|el|calle|avenida|camino|paseo|plaza|via)\s+$", re.IGNORECASE)
+_UNLISTED = re.compile(rf"(?<![\w'’.&-])({_CAP})((?:{_SPACE}[^\W\d_a-z]\.)*){_SPACE}{_SURNAME}{_SUFFIX}")
+_BESIDE = re.compile(rf"\s*(?:,|;|\bor\b|\band\b|\bo\b|\by\b)\s*$", re.IGNORECASE)
 _EMAIL = re.compile(
     r"(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]*\w)?(?:\s?@\s?|\s?[\[({<]\s?(?:at|arroba|@)\s?[\])}>]\s?|\s(?:at|arroba)\s(?=[\w-]+\s?[\[(]?\s?(?:dot|punto)\b))"
     r"[A-Za-z0-9-]+(?:(?:\.|\s?[\[({]\s?(?:dot|punto)\s?[\])}]\s?|\s(?:dot|punto)\s)[A-Za-z0-9-]+)+",
     re.IGNORECASE,
 )
-_EMAIL_HINT = re.compile(r"@|[\[({<]\s?(?:at|arroba)\s?[\])}>]|\sdot\s|\spunto\s", re.IGNORECASE)
+_EMAIL_HINT = re.compile(r"@|[\[({<]\s?(?:at|arroba)\s?[\])}>]|\s(?:dot|punto)\s|[\[(]\s?(?:dot|punto)\b", re.IGNORECASE)
 _DIGITS = re.compile(
     r"(?<![\w.,/$#+-])(?:(?P<phone>(?:\+?1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}|(?:1[ .-])?\d{3}(?P<p>[ .-])\d{3}(?P=p)\d{4})"
     r"|(?P<ssn>\d{3}(?P<q>[ .-])\d{2}(?P=q)\d{4})|(?P<local>\d{3}-\d{4})|(?P<ten>[2-9]\d{9})|(?P<nine>\d{9})|(?P<card>\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7})|(?P<foreign>\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}))(?![\w/]|[.,-]\d)"
@@ -91,13 +104,9 @@ _NOT_STREETS = frozenset("of the and on in at to by for with from new old per ea
 
 
 #: What a text must hold, in lower case, for a pattern to be worth trying (fixed values).
-_TITLE_HINTS = ("mr", "ms", "miss", "dr", "prof", "rev", "hon", "señor", " sr", "doña", "don ")
-_CUE_HINTS = (
-    "dear", "signed,", "from:", "applicant:", "tenant", "attention", "council member", "submitted by", "presentado por", "firmado:", "solicitante", "inspector",
-    "my name is", "avisos a", "widow of", "the home of", "is owed to", "ccording to", "the dog of", "petition lists", "at the counter by", "complaint, which", "thanks", "payee", "heirs:",
-)
+_TITLE_HINTS = ("mr", "ms", "miss", "dr", "prof", "rev", "hon", "señor", "sr", "doña", "don")
 _CALLE_HINTS = ("calle", "avenida", "avda", "av.", "paseo", "camino", "carrera", "plaza")
-_EMAIL_HINTS = ("@", "(at", "[at", "{at", "<at", "( at", "[ at", "{ at", "< at", "arroba", " dot ", " punto ", "\ndot ", "\tdot ")
+_EMAIL_HINTS = ("@", "(at", "[at", "{at", "<at", "( at", "[ at", "{ at", "< at", "arroba", "dot", "punto")
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -111,6 +120,27 @@ def _automaton() -> ahocorasick.Automaton:
 _AUTOMATON = _automaton()
 
 
+@lru_cache(maxsize=2)
+def _vocabulary(path: str) -> frozenset:
+    """Words in lower case that a public vocabulary has as one token: ordinary words, and hardly any name."""
+    with open(path, "rb") as f:
+        tokens = (base64.b64decode(line.split()[0]).decode(errors="replace") for line in f)
+        return frozenset(t[1:] for t in tokens if t.startswith(" ") and len(t) > 3 and t[1:].isalpha() and t[1:].islower())
+
+
+def ordinary(word: str, any_language: bool = True) -> bool:
+    low = word.lower()
+    return low in _ARTICLES or low in _vocabulary(f"{FOLDER}/{VOCABULARY}") or any_language and low in _vocabulary(f"{FOLDER}/{MANY_LANGUAGES}")
+
+
+def issued(number: str) -> bool:
+    """Whether nine digits can be a social-security or taxpayer number: no area 000 or 666, no group 00, no serial 0000.
+
+    Areas from 900 on, which only taxpayer numbers have, count as such.
+    """
+    return number[:3] not in ("000", "666") and number[3:5] != "00" and number[5:] != "0000"
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, ch in enumerate(reversed(digits)):
@@ -148,8 +178,9 @@ def _numbers(text: str) -> Iterator[tuple[float, int, int, str]]:
                 yield 0.9, start, end, "card"
             continue
         if kind in ("ssn", "nine"):
-            score += 0.5 * bool(_ID_CUE.search(before)) - 0.4 * against
-            yield score, start, end, "id_number"
+            if issued(re.sub(r"\D", "", m[0])):
+                score += 0.5 * bool(_ID_CUE.search(before)) - 0.4 * against
+                yield score, start, end, "id_number"
         else:
             score += 0.4 * bool(_PHONE_CUE.search(before[-25:])) - 0.4 * against
             yield score, start, end, "phone"
@@ -204,8 +235,12 @@ def _names(text: str, low: str) -> Iterator[tuple[float, int, int, str]]:
         follow = _AFTER_GIVEN.match(text, end)
         if follow and text[start:end].isupper() is follow["s"].isupper() and _surname(follow["s"]) and _clear(text, follow.end()):
             upto = follow.end()
-            yield 0.8, start, upto, "name"
-        elif text[start - 2 : start - 1] == "," and (tail := _GIVEN_SECOND.match(text, end)):
+            # a given name before an ordinary word is as often a place or a paper, so something must tell a person
+            if plain := ordinary(follow["s"], any_language=False):
+                before = text[max(0, start - 40) : start]
+                plain = bool(_PLACE_BEFORE.search(before)) or not _PERSON_BEFORE.search(before) and not _PERSON_AFTER.match(text, upto)
+            yield 0.8 - 0.4 * plain, start, upto, "name"
+        elif text[max(0, start - 2) : start].strip() in (",",) and (tail := _GIVEN_SECOND.match(text, end)):
             before = _LAST_FIRST.search(text, max(upto, start - 80), start)
             if before and _surname(before[1]):
                 upto = tail.end()
@@ -219,10 +254,21 @@ def _names(text: str, low: str) -> Iterator[tuple[float, int, int, str]]:
     for m in _INITIAL.finditer(text):
         if _surname(m["s"]) and m["s"].casefold() not in _STARTS and _clear(text, m.end()):
             yield 0.6, m.start(), m.end(), "name"
-    for m in _CUES.finditer(text) if any(c in low for c in _CUE_HINTS) else ():
-        got = _CUED.match(text, m.end()) or _CUED_LAST.match(text, m.end())
-        if got and _surname(got["s"]) and _clear(text, got.end()):
-            yield 0.55, m.end(), got.end(), "name"
+    last = -1
+    for m in _UNLISTED.finditer(text):
+        first, second = m[1], m["s"]
+        if first.casefold() in GIVEN or not _surname(first) or not _surname(second) or first.isupper() or second.isupper() or ordinary(first) or ordinary(second.split("-")[0]):
+            continue
+        if not _clear(text, m.end()) or _NEXT.match(text, m.end()):
+            continue
+        before = text[max(0, m.start() - 40) : m.start()]
+        score = 0.35 + 0.25 * bool(_PERSON_BEFORE.search(before)) + 0.2 * bool(_PERSON_AFTER.match(text, m.end())) - 0.3 * bool(_PLACE_BEFORE.search(before))
+        beside = 0 <= last and m.start() - last < 8 and _BESIDE.fullmatch(text, last, m.start())
+        sentence = not before.strip() or before.rstrip()[-1] in ".!?:;\n" or "\n" in before[-2:]
+        score += 0.2 * bool(beside) + 0.15 * sentence
+        if score >= ACCEPT:
+            last = m.end()
+        yield score, m.start(), m.end(), "name"
 
 
 #: Words that begin sentences and are no surnames after a stray initial (fixed values).

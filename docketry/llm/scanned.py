@@ -40,6 +40,7 @@ _ROMAN = r"c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
 _OWN = re.compile(rf"(?:[-–—\[(|]\s*)?(?:(?:page|pg\.?|p\.)\s*{_NUMBER}{_OF}|(?=[^\n]*\d){_NUMBER}{_OF}|(?=[ivxlc]){_ROMAN})(?:\s*[-–—\])|])?", re.IGNORECASE)
 _PAGE_END = re.compile(rf"[\s|,·–—-]+(?:page|pg\.?|p\.)\s*{_NUMBER}{_OF}\s*$", re.IGNORECASE)
 _PAGE_START = re.compile(rf"^(?:page|pg\.?|p\.)\s*{_NUMBER}{_OF}[\s|,·–—-]+", re.IGNORECASE)
+_FIGURES = re.compile(rf"[\d{DIGIT_LETTERS}]*\d[\d{DIGIT_LETTERS}]*")
 _CONTINUED = re.compile(r"\s*\((?:cont\.?|cont'd|continued)\)\s*$", re.IGNORECASE)
 _COPY = re.compile(r"^[^\W\d_][\w'’]* copy:\s*", re.IGNORECASE)
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -68,7 +69,7 @@ def head(line: str) -> tuple[str, bool, bool] | None:
     words = _LETTERS.findall(title)
     if len(words) < 2 or not any(len(w) >= 4 for w in words) or not all(w[0].isupper() or not w.isascii() for w in words if len(w) >= 4):
         return None
-    return re.sub(r"\d+", "#", title), page, page or title != bare
+    return _FIGURES.sub("#", title), page, page or title != bare
 
 
 def numbers_misread(text: str) -> bool:

@@ -32,6 +32,26 @@ def test_cases():
         assert got == [(k, v) for k, v in sorted(want, key=lambda x: text.index(x[1]))] or [(k, v.rstrip(".")) for k, v in got] == [(k, v.rstrip(".")) for k, v in sorted(want, key=lambda x: text.index(x[1]))], text
 
 
+def test_names_that_no_list_holds():
+    """Texts of a kind that the rules weren't written from."""
+    names = lambda t: [t[a:b] for a, b, k in personal.spans(t) if k == "name"]
+    assert names("Please contact Bjorn Halvorsen or Nkechi Okafor before noon.") == ["Bjorn Halvorsen", "Nkechi Okafor"]
+    assert names("Thandiwe Mbeki") == ["Thandiwe Mbeki"]
+    assert names("We met in Virginia Beach, as the Charlotte Observer said, and on Brodo Drarrdwick Way.") == []
+    assert names("Thelndman Telndton Group delivers to El Departamento de Vivienda. La Comisión recibió el informe.") == []
+    assert names("Mary Baker said no; Tomás Young, who lives there, agreed.") == ["Mary Baker", "Tomás Young"]
+
+
+def test_numbers_that_are_never_issued():
+    found = [t for t in ("000-12-3456", "666-12-3456", "912-00-3456", "912-44-0000", "912-44-1234") if personal.spans(f"Her SSN is {t}.")]
+    assert found == ["912-44-1234"]
+
+
+def test_veiled_and_spaced_forms():
+    for text, want in (("write to jane at example [dot] org", "email"), ("la\nSra. Xochitl vive", "name"), ("Don\u00a0Osvaldic", "name"), ("Okafor,\u00a0Mary;", "name")):
+        assert [k for _, _, k in personal.spans(text)] == [want], text
+
+
 def test_checksums():
     assert personal.luhn("4111111111111111") and not personal.luhn("4111111111111112")
     assert personal.mod97("GB82WEST12345698765432") and not personal.mod97("GB82WEST12345698765433")
