@@ -33,7 +33,7 @@ def sniffed(content: Column) -> Column:
     out = F.when(F.lit(False), "")
     for bytes_, media in MAGIC:
         out = out.when(head.startswith(bytes_), media)
-    text = F.lower(F.ltrim(F.decode(F.substring(content, 1, 256), "ISO-8859-1")))
+    text = F.lower(F.regexp_replace(F.decode(F.substring(content, 1, 256), "ISO-8859-1"), r"^\s+", ""))
     return out.when(text.startswith("<!doctype html") | text.startswith("<html"), "text/html")
 
 
@@ -93,8 +93,8 @@ def visible_text(html: str) -> str:
 class _Links(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.found: list[tuple[str, str, str]] = []
-        self.heading, self.href, self.text, self.in_heading = "", None, "", False
+        self.found: list[tuple[str, str, str, str]] = []
+        self.category, self.heading, self.href, self.text, self.in_heading = "", "", None, "", False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ("h1", "h2", "h3", "h4"):
@@ -111,13 +111,14 @@ class _Links(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in ("h1", "h2", "h3", "h4"):
             self.heading, self.in_heading = " ".join(self.heading.split()), False
+            self.category = self.heading if tag in ("h1", "h2") else self.category
         if tag == "a" and self.href is not None:
-            self.found.append((self.heading, self.href, " ".join(self.text.split())))
+            self.found.append((self.category, self.heading, self.href, " ".join(self.text.split())))
             self.href = None
 
 
 def page_links(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, ordinal, heading, href, text): links of each page in order, with the heading above them."""
+    """(key, ordinal, category, heading, href, text): links of each page in order, with the heading above them and the last of the upper two levels."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -126,10 +127,10 @@ def page_links(pages: DataFrame, key: str, html: str) -> DataFrame:
                 p = _Links()
                 p.feed(h or "")
                 out += [(k, i, *x) for i, x in enumerate(p.found)]
-            yield pd.DataFrame(out, columns=[key, "ordinal", "heading", "href", "text"])
+            yield pd.DataFrame(out, columns=[key, "ordinal", "category", "heading", "href", "text"])
 
     kind = pages.schema[key].dataType.simpleString()
-    return pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(run, f"{key} {kind}, ordinal int, heading string, href string, text string")
+    return pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(run, f"{key} {kind}, ordinal int, category string, heading string, href string, text string")
 
 
 def column_name(index: int) -> str:

@@ -53,7 +53,7 @@ def test_escalation(spark):
 
 def test_links(spark):
     pages = spark.createDataFrame([(1, HTML), (2, None)], "k int, h string")
-    assert [tuple(r) for r in documents.page_links(pages, "k", "h").collect()] == [(1, 0, "City Council", "/a?x=1", "Minutes pdf")]
+    assert [tuple(r) for r in documents.page_links(pages, "k", "h").collect()] == [(1, 0, "City Council", "City Council", "/a?x=1", "Minutes pdf")]
     df = spark.createDataFrame([("https://h/a/b?z=1&y=2&z=3",), ("http://h/x",), (None,)], "u string")
     assert [r[0] for r in df.select(links.signature(F.col("u"))).collect()] == ["/a/b?y&z", "/x?", "?"]
     checks = [("scheme", ~F.col("u").startswith("https")), ("query", ~F.col("u").contains("?"))]
