@@ -29,6 +29,8 @@ DIGIT_LETTERS = "OoIlSB"
 KNOWN = 3
 #: A form with less than this share of its group's most frequent form is no known word but a misreading of it.
 RARE = 0.15
+#: Of the known words the most frequent so many are left out of joins: a table of bounded size.
+FREQUENT = 20_000
 #: A title with figures is a head where this share of its lines stand first or last in their text.
 AT_EDGE = 0.9
 
@@ -41,11 +43,12 @@ _OWN = re.compile(rf"(?:[-–—\[(|]\s*)?(?:(?:page|pg\.?|p\.)\s*{_NUMBER}{_OF}
 _PAGE_END = re.compile(rf"[\s|,·–—-]+(?:page|pg\.?|p\.)\s*{_NUMBER}{_OF}\s*$", re.IGNORECASE)
 _PAGE_START = re.compile(rf"^(?:page|pg\.?|p\.)\s*{_NUMBER}{_OF}[\s|,·–—-]+", re.IGNORECASE)
 _FIGURES = re.compile(rf"[\d{DIGIT_LETTERS}]*\d[\d{DIGIT_LETTERS}]*")
+#: A longer word in small letters that no head has but for its marks.
+_BODY = re.compile(r"(?<![^\W\d_])(?!(?:page|cont|continued)(?![^\W\d_]))[a-z][A-Za-z]{3,}(?![^\W\d_])")
 _CONTINUED = re.compile(r"\s*\((?:cont\.?|cont'd|continued)\)\s*$", re.IGNORECASE)
 _COPY = re.compile(r"^[^\W\d_][\w'’]* copy:\s*", re.IGNORECASE)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _WORD = re.compile(r"[^\W\d_][\w@]*")
-_WORDS = r"(?U)\p{L}[\w@]*"
 _GLYPHED = re.compile(rf"(?<![\w])\$?(?=[.,/\d{DIGIT_LETTERS}-]*\d)(?=[.,/\d-]*[{DIGIT_LETTERS}])[\d{DIGIT_LETTERS}]+(?:[.,/-][\d{DIGIT_LETTERS}]+)*(?:MM|M|K|k|BN|N)?(?![\w])")
 _LETTERED = re.compile(r"(?<=\d-)[A-HK](?=[\dOIlSB]{2}(?!\w))(?=\d?[OIlSB])[\dOIlSB]{2}")
 
@@ -56,11 +59,13 @@ def skeleton(word: str) -> str:
 
 def page_number(line: str) -> bool:
     """A page number alone on its line."""
-    return _OWN.fullmatch(line) is not None
+    return len(line) < 40 and _OWN.fullmatch(line) is not None
 
 
 def head(line: str) -> tuple[str, bool, bool] | None:
     """(title with figures masked, page number within, marked) if the line has the looks of a running head."""
+    if len(line) > 130 or _BODY.search(line) and " copy:" not in line:  # most lines end here
+        return None
     bare = _PAGE_START.sub("", _PAGE_END.sub("", line)).strip()
     page = bare != line
     title = _COPY.sub("", _CONTINUED.sub("", bare)).strip()
@@ -97,18 +102,19 @@ def _titles(lines: list[str]) -> list[tuple[str, bool] | None]:
     return out
 
 
-_READ = "key string, grp string, kinds array<string>, heads array<struct<title:string,edge:boolean>>, flow string, whole boolean"
+_READ = "key string, grp string, kinds array<string>, heads array<struct<title:string,edge:boolean>>, words array<string>"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What each reading's lines show, and its text without page numbers and marked heads, broken words joined."""
+    """What each reading's lines show, and the words of its text without page numbers and marked heads, broken words joined."""
     heads_type = pa.list_(pa.struct([("title", pa.string()), ("edge", pa.bool_())]))
     for batch in batches:
-        out: dict[str, list] = {"kinds": [], "heads": [], "flow": [], "whole": []}
+        out: dict[str, list] = {"kinds": [], "heads": []}
+        words, ends = [], [0]
         for text in batch.column("text").to_pylist():
             lines = [x for x in _lines(text) if x]
-            kinds, body = set(), []
-            for line in lines:
+            kinds, body, titles = set(), [], []
+            for k, line in enumerate(lines):
                 if page_number(line):
                     kinds.add("page_no")
                     continue
@@ -117,21 +123,23 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     kinds.add("page_no")
                 if h and h[2]:
                     kinds.add("running_head")
-                else:
-                    body.append(line)
+                    continue
+                if h:
+                    titles.append({"title": skeleton(h[0]), "edge": k in (0, len(lines) - 1)})
+                body.append(line)
             if any(line[-1] in _HYPHEN and len(line) > 1 and line[-2].isalpha() for line in lines[:-1]):
                 kinds.add("broken_word")
             flow = _BROKEN.sub("", "\n".join(body))
             if numbers_misread(flow):
                 kinds.add("misread")
             out["kinds"].append(sorted(kinds))
-            out["heads"].append([{"title": t[0], "edge": t[1]} for t in _titles(lines) if t])
-            out["flow"].append(flow)
-            out["whole"].append(not flow.rstrip()[-1:].isalnum())  # the last word may be cut off
-        yield pa.record_batch({
-            "key": batch.column("key"), "grp": batch.column("grp"), "kinds": pa.array(out["kinds"], pa.list_(pa.string())), "heads": pa.array(out["heads"], heads_type),
-            "flow": pa.array(out["flow"], pa.string()), "whole": pa.array(out["whole"], pa.bool_()),
-        })
+            out["heads"].append(titles)
+            found = _WORD.findall(flow.lower())
+            # the last word may be cut off
+            words += found[:-1] if found and flow.rstrip()[-1:].isalnum() else found
+            ends.append(len(words))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words, pa.string()))
+        yield pa.record_batch({"key": batch.column("key"), "grp": batch.column("grp"), "kinds": pa.array(out["kinds"], pa.list_(pa.string())), "heads": pa.array(out["heads"], heads_type), "words": lists})
 
 
 def _skeletons(word: Column) -> Column:
@@ -144,13 +152,8 @@ def _skeletons(word: Column) -> Column:
     return out
 
 
-def _words(flows: DataFrame) -> Column:
-    found = F.regexp_extract_all(F.lower("flow"), F.lit(_WORDS), F.lit(0))
-    return F.get(F.transform(F.array(found), lambda a: F.when(F.col("whole"), a).otherwise(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))))), F.lit(0))
-
-
-def misreadings(flows: DataFrame) -> DataFrame:
-    """(key, word, right): the words of each text (key, flow, whole) that are misread, with the form they stand for.
+def misreadings(read: DataFrame) -> DataFrame:
+    """(id, word, right): the words of each text (id, words) that are misread, with the form they stand for.
 
     Forms are grouped by the skeleton that confusable glyphs share. A form of letters is known from ``KNOWN``
     occurrences and ``RARE`` of its group's most frequent form on; any other form of the group is a misreading.
@@ -160,8 +163,7 @@ def misreadings(flows: DataFrame) -> DataFrame:
     words need a very frequent form. All forms are tables, joined and never collected; which of them are
     broadcast is left to the optimizer's size check.
     """
-    words = flows.select(F.explode(_words(flows)).alias("word"))
-    counts = cut(words.groupBy("word").agg(F.count("*").alias("n")).where(F.length("word") > 1).withColumn("s", _skeletons(F.col("word"))))
+    counts = cut(read.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.length("word") > 1).withColumn("s", _skeletons(F.col("word"))))
     common = counts.where((F.col("n") >= KNOWN) & F.col("word").rlike(r"^\p{L}+$"))
     best = cut(common.groupBy("s").agg(F.max(F.struct("n", "word")).alias("best")))
     known = cut(common.join(best, "s").where(F.col("n") >= RARE * F.col("best.n")).select("s", "word", "n"))
@@ -172,20 +174,26 @@ def misreadings(flows: DataFrame) -> DataFrame:
     wrong = counts.join(known.select("word"), "word", "left_anti").join(best, "s").where((F.col("best.word") != F.col("word")) & another & (F.col("best.n") >= enough))
     fixes = cut(wrong.join(rivals, "s").select("word", "s", F.col("best.word").alias("right"), ((F.col("rivals") > 1) | (F.col("n") >= KNOWN)).alias("open"), (F.col("n") >= KNOWN).alias("rare")))
 
-    beside = F.get(F.transform(F.array(_words(flows)), lambda a: F.transform(a, lambda x, i: F.struct(x.alias("word"), F.get(a, i - 1).alias("prev"), F.get(a, i + 1).alias("next")))), F.lit(0))
-    tokens = flows.select("key", F.explode(beside).alias("t")).select("key", "t.*")
-    hits = tokens.join(fixes, "word")
-    plain = hits.where("not open").select("key", "word", "right")
-    doubtful = cut(hits.where("open").select("key", "word", "prev", "next", "s", "rare"))
-    forms = cut(doubtful.select("word", "s").distinct().join(known.withColumnRenamed("word", "right"), "s").select("word", "right", F.col("n").alias("often")))
-    sought = cut(forms.select(F.col("right").alias("word")).distinct())
-    near = tokens.join(sought, "word")
-    seen = [cut(near.where(f"{side} is not null").groupBy(side, F.col("word").alias("right")).agg(F.count("*").alias(f"n_{side}"))) for side in ("prev", "next")]
-    scored = doubtful.join(forms, "word").join(seen[0], ["prev", "right"], "left").join(seen[1], ["next", "right"], "left")
-    votes = scored.groupBy("key", "word", "right").agg(F.sum(F.coalesce("n_prev", F.lit(0)) + F.coalesce("n_next", F.lit(0))).alias("support"), F.max("often").alias("often"), F.bool_or("rare").alias("rare"))
+    # the most frequent words are known, so the bulk of all words meets no other table
+    frequent = F.broadcast(cut(known.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word")))
+    around = F.transform("words", lambda x, i: F.struct(x.alias("word"), F.get("words", i - 1).alias("prev"), F.get("words", i + 1).alias("next")))
+    placed = read.select("id", F.explode(around).alias("t")).select("id", "t.*").join(frequent, "word", "left_anti")
+    hits = cut(placed.join(fixes, "word").select("id", "word", "prev", "next", "s", "right", "open", "rare"))
+    plain = hits.where("not open").select("id", "word", "right").distinct()
+    beside = hits.where("open").select("id", "word", "s", "rare", "prev", "next")
+    forms = cut(beside.select("word", "s").distinct().join(known.withColumnRenamed("word", "right"), "s").select("word", "right", F.col("n").alias("often")))
+    asked = cut(beside.drop("s").join(forms, "word"))
+    pairs = [asked.select(F.concat_ws(" ", *c).alias("pair")).where(f"{side} is not null") for side, c in (("prev", ("prev", "right")), ("next", ("right", "next")))]
+    wanted = cut(pairs[0].unionByName(pairs[1]).distinct())
+    every = F.zip_with("words", F.slice("words", 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b))
+    seen = cut(read.select(F.explode(every).alias("pair")).join(wanted, "pair").groupBy("pair").agg(F.count("*").alias("n")))
+    scored = asked.withColumn("left", F.concat_ws(" ", "prev", "right")).withColumn("after", F.concat_ws(" ", "right", "next"))
+    scored = scored.join(seen.toDF("left", "n_prev"), "left", "left").join(seen.toDF("after", "n_next"), "after", "left")
+    support = F.coalesce(F.when(F.col("prev").isNotNull(), F.col("n_prev")), F.lit(0)) + F.coalesce(F.when(F.col("next").isNotNull(), F.col("n_next")), F.lit(0))
+    votes = scored.groupBy("id", "word", "right").agg(F.sum(support).alias("support"), F.max("often").alias("often"), F.bool_or("rare").alias("rare"))
     top = F.max(F.struct("support", "often", "right"))
-    decided = votes.groupBy("key", "word").agg(top.alias("b"), F.bool_or("rare").alias("rare")).where("b.support > 0 or not rare").select("key", "word", F.col("b.right").alias("right"))
-    return plain.distinct().unionByName(decided)
+    decided = votes.groupBy("id", "word").agg(top.alias("b"), F.bool_or("rare").alias("rare")).where("b.support > 0 or not rare").select("id", "word", F.col("b.right").alias("right"))
+    return plain.unionByName(decided)
 
 
 def _recurring(titles: DataFrame, by: str) -> DataFrame:
@@ -198,8 +206,7 @@ def _recurring(titles: DataFrame, by: str) -> DataFrame:
 
 
 def _rows(readings: DataFrame, key: str, group: str | None, text: str) -> DataFrame:
-    rows = readings.select(F.col(key).alias("key"), F.col(group or key).alias("grp"), F.col(text).alias("text")).where("key is not null and text is not null and text <> ''")
-    return rows.groupBy("key").agg(F.max("grp").alias("grp"), F.max("text").alias("text"))
+    return readings.select(F.col(key).alias("key"), F.col(group or key).alias("grp"), F.col(text).alias("text")).where("key is not null and text is not null and text <> ''")
 
 
 def noise(readings: DataFrame, key: str, group: str, text: str) -> DataFrame:
@@ -209,11 +216,12 @@ def noise(readings: DataFrame, key: str, group: str, text: str) -> DataFrame:
     masked, in readings of two groups or more. Null keys and null and empty texts have no rows; rows of one key are
     one reading; an empty input gives no row. Texts are read once; words are counted and looked up as tables.
     """
-    flows = cut(_rows(readings, key, group, text).mapInArrow(_read, _READ))
-    heads = flows.select("key", "grp", F.explode("heads").alias("h")).select("key", "grp", "h.title", "h.edge")
+    read = cut(_rows(readings, key, group, text).mapInArrow(_read, _READ).withColumn("id", F.monotonically_increasing_id()))
+    heads = read.select("key", "grp", F.explode("heads").alias("h")).select("key", "grp", "h.title", "h.edge")
     running = heads.join(_recurring(heads, "grp"), "title").select("key", F.lit("running_head").alias("noise_kind"))
-    plain = flows.select("key", F.explode("kinds").alias("noise_kind"))
-    misread = misreadings(flows).select("key", F.lit("misread").alias("noise_kind"))
+    plain = read.select("key", F.explode("kinds").alias("noise_kind"))
+    wrong = misreadings(read.select("id", "words")).select("id").distinct()
+    misread = read.select("id", "key").join(wrong, "id").select("key", F.lit("misread").alias("noise_kind"))
     return plain.unionByName(running).unionByName(misread).distinct().withColumnRenamed("key", key)
 
 
@@ -266,9 +274,10 @@ def repaired(readings: DataFrame, key: str, text: str) -> DataFrame:
     a blank line, or the end of a sentence before a line that starts a new item, ends a paragraph. Null keys and
     null and empty texts have no rows; rows of one key are one reading; an empty input gives no row.
     """
-    rows = _rows(readings, key, None, text)
-    wrong = misreadings(cut(rows.mapInArrow(_read, _READ)).select("key", "flow", "whole"))
-    rights = cut(wrong.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("word", "right"))).alias("rights")))
+    rows = _rows(readings, key, None, text).groupBy("key").agg(F.max("grp").alias("grp"), F.max("text").alias("text"))
+    read = cut(rows.mapInArrow(_read, _READ).select("key", "words").withColumn("id", F.monotonically_increasing_id()))
+    wrong = misreadings(read.select("id", "words")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "right"))).alias("rights"))
+    rights = cut(read.select("id", "key").join(wrong, "id").select("key", "rights"))
     w = Window.partitionBy("key").orderBy("place")
     every = cut(rows.mapInArrow(_drop, "key string, place int, line string, title string, edge boolean"))
     doubtful = every.where("title is not null")

@@ -68,7 +68,8 @@ def test_neighbours_decide(spark):
     rows += [(f"d{i}", f"d{i}", "He read dear letters aloud today.") for i in range(40)] + [(f"e{i}", f"e{i}", "Skies were clear above town today.") for i in range(40)]
     rows += [("x", "x", "Skies were c1ear above town today."), ("y", "y", "He read d3ar letters aloud today."), ("z", "z", "He read cIear letters aloud today.")]
     rows += [(f"r{i}", f"r{i}", "Old folk call this hillside rnodern gate field.") for i in range(4)] + [("w", "w", "We heard the rnodern burn of the mill.")]
-    wrong = {(r["key"], r["word"]): r["right"] for r in scanned.misreadings(scanned._rows(frame(spark, rows), "k", "g", "t").mapInArrow(scanned._read, scanned._READ)).collect()}
+    read = scanned._rows(frame(spark, rows), "k", "g", "t").mapInArrow(scanned._read, scanned._READ).withColumn("id", F.col("key"))
+    wrong = {(r["id"], r["word"]): r["right"] for r in scanned.misreadings(read).collect()}
     assert wrong["x", "c1ear"] == "clear" and wrong["z", "ciear"] == "dear"
     assert wrong["w", "rnodern"] == "modern"  # its neighbours are those of the known form
     assert not any(k.startswith("r") for k, _ in wrong)  # beside these no known form has stood
