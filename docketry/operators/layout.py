@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.ids import stable_id
+from docketry.session import cut
 
 
 def ordered_words(words: DataFrame) -> DataFrame:
@@ -34,14 +35,8 @@ def _gap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.when(a1 < b0, F.round(b0 - a1, 3)).when(b1 < a0, F.round(a0 - b1, 3)).otherwise(F.lit(0.0))
 
 
-def relations(regions: DataFrame) -> DataFrame:
-    """Ordered pairs of regions (page, region, x0, y0, x1, y1) of a page with their geometry.
-
-    Regions of one page only are paired, and a page holds few; centres, distance, overlaps, gaps, direction.
-    """
-    s = regions.select("page", *(F.col(c).alias(f"s_{c}") for c in ("region", "x0", "y0", "x1", "y1")))
-    t = regions.select("page", *(F.col(c).alias(f"t_{c}") for c in ("region", "x0", "y0", "x1", "y1")))
-    both = s.join(t, "page").where("s_region <> t_region")
+def _geometry(both: DataFrame) -> DataFrame:
+    """Centres, distance, overlaps, gaps and direction of rows that hold both boxes (s_x0 ... t_y1)."""
     mid = lambda p, a: (F.col(f"{p}_{a}0") + F.col(f"{p}_{a}1")) / 2
     both = both.withColumn("dx", F.round(mid("t", "x") - mid("s", "x"), 3)).withColumn("dy", F.round(mid("t", "y") - mid("s", "y"), 3))
     c = F.col
@@ -53,17 +48,106 @@ def relations(regions: DataFrame) -> DataFrame:
     )
 
 
-def nearest(related: DataFrame) -> DataFrame:
-    """The nearest other region of each region, ties by region, and whether the choice is mutual."""
-    best = related.groupBy("page", "s_region").agg(F.min(F.struct("distance", F.col("t_region").alias("t"))).alias("m")).select("page", "s_region", F.col("m.t").alias("t_region"), F.col("m.distance").alias("distance"))
-    back = best.select("page", F.col("s_region").alias("t_region"), F.col("t_region").alias("back"))
-    return best.join(back, ["page", "t_region"], "left").select("page", "s_region", "t_region", "distance", F.coalesce(F.col("back") == F.col("s_region"), F.lit(False)).alias("mutual"))
+def _side(regions: DataFrame, p: str) -> DataFrame:
+    return regions.select("page", *(F.col(c).alias(f"{p}_{c}") for c in ("region", "x0", "y0", "x1", "y1")))
+
 
+def pair_geometry(pairs: DataFrame, regions: DataFrame) -> DataFrame:
+    """The geometry of given ordered pairs (page, s_region, t_region) of regions."""
+    return _geometry(pairs.join(_side(regions, "s"), ["page", "s_region"]).join(_side(regions, "t"), ["page", "t_region"]))
+
+
+def relations(regions: DataFrame) -> DataFrame:
+    """Ordered pairs of all regions (page, region, x0, y0, x1, y1) of a page with their geometry.
+
+    The result is as large as the square of a page's regions by its definition; ``nearest`` and ``within`` need
+    no such pairs.
+    """
+    return _geometry(_side(regions, "s").join(_side(regions, "t"), "page").where("s_region <> t_region"))
+
+
+def measured(related: DataFrame, regions: DataFrame, width: Column, height: Column) -> DataFrame:
+    """``related`` with distances as shares of the page and of the words' height, the step in reading order, and whether both lie on one line.
+
+    ``regions`` also has first_word, last_word, line_key (null if it spans lines), height_sum and n_words.
+    """
+    side = lambda p: regions.select("page", *(F.col(c).alias(f"{p}_{c}") for c in ("region", "first_word", "last_word", "line_key", "height_sum", "n_words")))
+    rows = related.join(side("s"), ["page", "s_region"]).join(side("t"), ["page", "t_region"])
+    mean = (F.col("s_height_sum") + F.col("t_height_sum")) / (F.col("s_n_words") + F.col("t_n_words"))
+    share = lambda x, of: F.round(F.when(of > 0, x / of).otherwise(0.0), 6)
+    rows = rows.withColumn("dx_page", share(F.col("dx"), width)).withColumn("dy_page", share(F.col("dy"), height)).withColumn("distance_page", share(F.col("distance"), F.hypot(width, height))).withColumn("distance_height", share(F.col("distance"), mean))
+    rows = rows.withColumn("order_delta", F.col("t_first_word") - F.col("s_last_word")).withColumn("same_line", F.coalesce(F.col("s_line_key") == F.col("t_line_key"), F.lit(False)))
+    return rows.select(*related.columns, "dx_page", "dy_page", "distance_page", "distance_height", "order_delta", "same_line")
 
-def within(related: DataFrame, most: float, limit: int) -> DataFrame:
-    """Up to ``limit`` nearest neighbours of each region within a distance."""
+
+def _celled(regions: DataFrame, size: Column) -> DataFrame:
+    mid = lambda a: (F.col(f"{a}0") + F.col(f"{a}1")) / 2
+    return regions.withColumn("cx", F.floor(mid("x") / size).cast("long")).withColumn("cy", F.floor(mid("y") / size).cast("long"))
+
+
+def _around(source: DataFrame, target: DataFrame, reach: int) -> DataFrame:
+    """The geometry of pairs whose cells (cx, cy) lie at most ``reach`` apart; sources are copied to the cells around, targets are not."""
+    step = F.sequence(F.lit(-reach), F.lit(reach))
+    s = source.select("page", *(F.col(c).alias(f"s_{c}") for c in ("region", "x0", "y0", "x1", "y1")), F.explode(F.transform(step, lambda k: F.col("cx") + k)).alias("cx"), "cy")
+    s = s.withColumn("cy", F.explode(F.transform(step, lambda k: F.col("cy") + k)))
+    t = target.select("page", "cx", "cy", *(F.col(c).alias(f"t_{c}") for c in ("region", "x0", "y0", "x1", "y1")))
+    return _geometry(s.join(t, ["page", "cx", "cy"]).where("s_region <> t_region"))
+
+
+def nearest(regions: DataFrame) -> DataFrame:
+    """The nearest other region of each region (page, region, x0, y0, x1, y1), ties by region, and whether the choice is mutual.
+
+    Found by rings: a page is laid out in square cells that hold about two regions, every region looks into the
+    cells around its own, and those whose nearest so far may be beaten from farther away, or who found none, look
+    again with cells twice as large, so pairs grow with the regions and not with their square. A region alone on
+    its page has no row.
+    """
+    c = F.col
+    spread = regions.groupBy("page").agg(F.count("*").alias("n"), F.greatest(F.max((c("x0") + c("x1")) / 2) - F.min((c("x0") + c("x1")) / 2), F.max((c("y0") + c("y1")) / 2) - F.min((c("y0") + c("y1")) / 2), F.lit(1e-6)).alias("span"))
+    sized = cut(regions.join(cut(spread.where("n > 1").select("page", (c("span") / F.sqrt(c("n") / 2)).alias("size"), "span")), "page"))
+    open_, best, scale = sized, None, 1.0
+    while True:
+        size = c("size") * scale
+        found = _around(_celled(open_, size), _celled(sized, size), 1).groupBy("page", "s_region").agg(F.min(F.struct("distance", c("t_region").alias("t"))).alias("m"))
+        looked = open_.select("page", c("region").alias("s_region"), size.alias("sure"), "span").join(found, ["page", "s_region"], "left")
+        # nothing outside the ring is nearer than a cell's side; distances are rounded to thousandths
+        done = cut(looked.withColumn("settled", F.coalesce(c("m.distance") < c("sure") - 0.001, F.lit(False)) | (c("sure") > c("span") * 2 + 1)))
+        part = done.where("settled and m is not null").select("page", "s_region", c("m.t").alias("t_region"), c("m.distance").alias("distance"))
+        best = part if best is None else best.unionByName(part)
+        rest = done.where("not settled").select("page", c("s_region").alias("region"))
+        if rest.isEmpty():
+            break
+        open_, scale = cut(sized.join(rest, ["page", "region"], "left_semi")), scale * 2
+    best = cut(best)
+    back = best.select("page", c("s_region").alias("t_region"), c("t_region").alias("back"))
+    return best.join(back, ["page", "t_region"], "left").select("page", "s_region", "t_region", "distance", F.coalesce(c("back") == c("s_region"), F.lit(False)).alias("mutual"))
+
+
+def within(regions: DataFrame, most: float, limit: int) -> DataFrame:
+    """Up to ``limit`` nearest neighbours of each region within a distance: cells of that side, and the ring around each."""
+    if most <= 0 or limit < 1:
+        raise ValueError("distance and limit must be positive")
+    celled = _celled(regions, F.lit(float(most)))
     w = Window.partitionBy("page", "s_region").orderBy("distance", F.abs(F.col("t_region") - F.col("s_region")), "t_region")
-    return related.where(F.col("distance") <= most).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return _around(celled, celled, 1).where(F.col("distance") <= most).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
+def word_signatures(words: DataFrame) -> DataFrame:
+    """(page, signature): one hash over the words of a page in order, with places to three decimals, as a list in JSON."""
+    plain = lambda c: F.col(c).cast("decimal(18,3)").cast("string")
+    text = F.replace(F.replace(F.col("text"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    one = F.concat(F.lit("["), F.concat_ws(",", F.col("order_index").cast("string"), F.concat(F.lit('"'), text, F.lit('"')), *map(plain, ("x0", "y0", "x1", "y1")), *(F.col(c).cast("string") for c in ("block", "line", "word"))), F.lit("]"))
+    every = F.transform(F.array_sort(F.collect_list(F.struct("order_index", one.alias("j")))), lambda s: s["j"])
+    return words.groupBy("page").agg(F.sha2(F.concat(F.lit("["), F.array_join(every, ","), F.lit("]")), 256).alias("signature"))
+
+
+def ocr_settings(model: Column) -> tuple[Column, Column]:
+    """(language, dpi) of a recorded ``language=...;dpi=...``; English at 200 where none is recorded, an error for any other text."""
+    p = r"^\s*language=([^;]+);dpi=(\d+)\s*$"
+    fit = model.rlike(p) & (F.regexp_extract(model, p, 2).try_cast("int") >= 72)
+    bad = F.raise_error(F.concat(F.lit("unknown settings: "), model))
+    blank = F.coalesce(model, F.lit("")) == ""
+    return F.when(blank, "eng").when(fit, F.regexp_extract(model, p, 1)).otherwise(bad), F.when(blank, 200).when(fit, F.regexp_extract(model, p, 2).cast("int")).otherwise(bad.cast("int"))
 
 
 def edges_of(near: DataFrame) -> DataFrame:

@@ -31,15 +31,15 @@ def arithmetic_relations(diff: DataFrame, by: list[str], value: str, least: int
     """Changes that are a whole multiple, ``least`` to ``most`` times, of a value that stayed.
 
     For each removed and added value of a pair of versions: |added - removed| = multiple x kept, with a
-    positive kept value that is none of the three. Values per pair are few; pairs are joined by key.
+    positive kept value that is none of the three. The multiples of kept values are listed and met by the
+    difference, so kept values are never tried one by one.
     """
     old = diff.where("removed > 0").select(*by, F.col(value).alias("old"))
     new = diff.where("added > 0").select(*by, F.col(value).alias("new"))
-    kept = diff.where(f"kept > 0 and {value} > 0").select(*by, F.col(value).alias("base"))
-    delta = F.abs(F.col("new") - F.col("old"))
-    every = old.join(new, by).withColumn("delta", delta).where("delta > 0").join(kept, by)
-    fit = every.where("base <> old and base <> new and base <> delta and delta % base = 0")
-    return fit.withColumn("multiple", (F.col("delta") / F.col("base")).cast("int")).where(F.col("multiple").between(least, most))
+    kept = diff.where(f"kept > 0 and {value} > 0").select(*by, F.col(value).alias("base"), F.explode(F.sequence(F.lit(least), F.lit(most))).alias("multiple"))
+    steps = kept.withColumn("delta", (F.col("base") * F.col("multiple")).cast("decimal(28,2)"))
+    every = old.join(new, by).withColumn("delta", F.abs(F.col("new") - F.col("old")).cast("decimal(28,2)")).where("delta > 0")
+    return every.join(steps, [*by, "delta"]).where("base <> old and base <> new and base <> delta")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -254,7 +254,7 @@ def layout_relations(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_REGIONS} SELECT page, s_region, arg_min(t_region, (distance, t_region)) t_region FROM d GROUP BY 1, 2")
 def nearest_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    return layout.nearest(layout.relations(_regions(spark, d))).select("page", "s_region", "t_region")
+    return layout.nearest(_regions(spark, d)).select("page", "s_region", "t_region")
 
 
 @query(
@@ -265,5 +265,5 @@ def nearest_neighbors(spark: SparkSession, d: str) -> DataFrame:
 )
 def layout_components(spark: SparkSession, d: str) -> DataFrame:
     """Regions grouped by nearest neighbours."""
-    groups = similarity.smallest_reachable(layout.edges_of(layout.nearest(layout.relations(_regions(spark, d)))), "a", "b")
+    groups = similarity.smallest_reachable(layout.edges_of(layout.nearest(_regions(spark, d))), "a", "b")
     return groups.groupBy("root").agg(F.count("*").alias("regions")).select(F.split("root", r"\|")[0].cast("int").alias("page"), F.split("root", r"\|")[1].cast("long").alias("root"), "regions")

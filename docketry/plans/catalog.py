@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketry.plans import analytics, benchmark, connectors, evidence, indexes, matters, observations, profiles, quantities, recurrence, visits  # noqa: F401 - importing registers
+from docketry.plans import analytics, benchmark, connectors, evidence, indexes, matters, observations, pages, profiles, quantities, recurrence, visits  # noqa: F401 - importing registers
 from docketry.plans.registry import QUERIES, SQL, Query
 
 

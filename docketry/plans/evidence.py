@@ -259,7 +259,11 @@ def link_checks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sources", "source_uri").select("source_uri", links.first_failure(checks).alias("reason"))
 
 
-@query()
+@query(
+    r"""WITH u AS (SELECT regexp_extract(source_uri, '^https?://[^/?#]+([^?#]*)', 1) p, regexp_extract(source_uri, '\?([^#]*)', 1) q FROM sources),
+    k AS (SELECT p || '?' || array_to_string(list_sort(list_distinct(list_transform(string_split(q, '&'), lambda x: string_split(x, '=')[1]))), '&') s FROM u)
+    SELECT regexp_replace(s, '\d+', '0', 'g') signature, count(*) n_sources FROM k GROUP BY 1"""
+)
 def link_signatures(spark: SparkSession, d: str) -> DataFrame:
     """Shapes of addresses: path depth aside, which query keys occur with which path."""
     sig = F.regexp_replace(links.signature(F.col("source_uri")), r"\d+", "0")
@@ -274,3 +278,27 @@ def stable_samples(spark: SparkSession, d: str) -> DataFrame:
     """Five readings of each method, by hash."""
     rows = table(spark, d, "evidence_extractions", "method", "extraction_id").distinct()
     return links.stable_sample(rows, "extraction_id", 5, by="method").select("method", "extraction_id")
+
+
+@query(
+    """SELECT DISTINCT r.relation_id, r.source_id FROM source_relations r WHERE r.source_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM source_snapshots s WHERE s.source_id = r.source_id AND s.native_identifier IS NOT NULL)"""
+)
+def unnamed_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Relations of sources that were never retrieved under a native identifier."""
+    r = table(spark, d, "source_relations", "relation_id", "source_id")
+    named = table(spark, d, "source_snapshots", "source_id", "native_identifier").where("native_identifier is not null")
+    return evidence.orphans(r, named, "source_id").select("relation_id", "source_id").distinct()
+
+
+_SERIAL = r"try_cast(regexp_extract(native_identifier, '^[A-Z]+-(\d+)$', 1) AS BIGINT) // 1000"
+
+
+@query(
+    f"""WITH p AS (SELECT DISTINCT split_part(native_identifier, '-', 1) series, {_SERIAL} n FROM source_snapshots), s AS (SELECT series, n, lead(n) OVER (PARTITION BY series ORDER BY n) nx FROM p WHERE n IS NOT NULL)
+    SELECT series, unnest(range(n + 1, nx)) missing FROM s WHERE nx > n + 1"""
+)
+def serial_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Thousands of each series of native identifiers in which none was seen."""
+    n = F.floor(F.regexp_extract("native_identifier", r"^[A-Z]+-(\d+)$", 1).try_cast("long") / 1000)
+    rows = table(spark, d, "source_snapshots", "native_identifier").select(F.split("native_identifier", "-")[0].alias("grp"), n.alias("number"))
+    return changes.sequence_gaps(rows).withColumnRenamed("grp", "series")

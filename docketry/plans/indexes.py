@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docketry.operators import evidence, facts, search, segments
 from docketry.plans.evidence import _PREFERRED
 from docketry.plans.registry import query
-from docketry.session import ensure_checkpoint_dir, exists
+from docketry.session import cut, ensure_checkpoint_dir, exists
 from docketry.sources.tables import table
 
 
@@ -34,10 +34,17 @@ _TEXTS = f"(SELECT evidence_id, extracted_text FROM ({_PREFERRED}) WHERE trim(ex
     SELECT f.fact_id, f.evidence_id, f.numeric_value, s.source_uri, coalesce(s.n_sources, 0) n_sources FROM f LEFT JOIN s USING (artifact_id)"""
 )
 def amounts_range(spark: SparkSession, d: str) -> DataFrame:
-    """The hundred largest amounts of a range, with where they come from."""
-    rows = _facts(spark, d).where("fact_type = 'money' and numeric_value between 300000 and 5000000").select("fact_id", "evidence_id", "artifact_id", "fact_type", "numeric_value").distinct()
-    top = facts.money_between(rows, 300000.0, 5000000.0, 100)
-    origin = evidence.provenance(table(spark, d, "source_snapshots"), table(spark, d, "sources")).groupBy("artifact_id").agg(F.min("source_uri").alias("source_uri"), F.count_distinct("source_id").alias("n_sources"))
+    """The hundred largest amounts of a range, with where they come from.
+
+    The hundred largest different values bound the rows that can be among them, so copies are only removed from
+    these, and only the artifacts of the hundred are traced.
+    """
+    rows = _facts(spark, d).where("fact_type = 'money' and numeric_value between 300000 and 5000000").select("fact_id", "evidence_id", "artifact_id", "fact_type", "numeric_value")
+    least = rows.select("numeric_value").distinct().orderBy(F.desc("numeric_value")).limit(100).agg(F.min("numeric_value")).first()[0]
+    rows = rows.where(F.col("numeric_value") >= F.lit(300000.0 if least is None else least)).distinct()
+    top = F.broadcast(cut(facts.money_between(rows, 300000.0, 5000000.0, 100)))  # a hundred rows
+    seen = table(spark, d, "source_snapshots", "artifact_id", "source_id").join(top.select("artifact_id").distinct(), "artifact_id", "left_semi")
+    origin = evidence.provenance(seen, table(spark, d, "sources")).groupBy("artifact_id").agg(F.min("source_uri").alias("source_uri"), F.count_distinct("source_id").alias("n_sources"))
     return top.join(origin, "artifact_id", "left").select("fact_id", "evidence_id", "numeric_value", "source_uri", F.coalesce("n_sources", F.lit(0)).cast("long").alias("n_sources"))
 
 
@@ -237,3 +244,81 @@ def segment_anchor(spark: SparkSession, d: str) -> DataFrame:
 def segment_summary(spark: SparkSession, d: str) -> DataFrame:
     rows = distinct_segments(spark, d)
     return rows.groupBy("segment_type").agg(F.count("*").alias("n"), F.round(F.avg(F.length("normalized_text")), 4).alias("mean_chars"), F.count_distinct("normalized_anchor").alias("anchors"))
+
+
+_MARK = "string_split(regexp_replace(replace(extracted_text, chr(1), ' '), '{p}', chr(1) || '\\0', 'g'), chr(1))"
+_CUT_RULES = [(r.name, r.segment_type, r.anchor_regex, r.min_chars) for r in RULES]
+_STRIP = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+"
+_ONE = " UNION ALL ".join(
+    f"SELECT evidence_id, '{n}' rule_name, {m} least, regexp_extract(p, '{a}', 1) anchor, regexp_replace(regexp_replace(p, '^{_STRIP}', ''), '{_STRIP}$', '') raw FROM (SELECT evidence_id, unnest({_MARK.replace('{p}', a)}[2:]) p FROM tx)" for n, _, a, m in _CUT_RULES
+)
+
+
+@query(
+    f"""WITH tx AS (SELECT t.* FROM {_TEXTS} t JOIN evidence_units u USING (evidence_id) WHERE u.artifact_id IN (SELECT artifact_id FROM source_snapshots JOIN sources USING (source_id))), c AS ({_ONE}),
+    n AS (SELECT *, lower(trim(regexp_replace(raw, '{_STRIP}', ' ', 'g'))) norm FROM c) SELECT evidence_id, rule_name, lower(trim(regexp_replace(anchor, '{_STRIP}', ' ', 'g'))) normalized_anchor, sha256(norm) text_sha256, count(*) n FROM n WHERE length(norm) >= least GROUP BY ALL"""
+)
+def segment_texts(spark: SparkSession, d: str) -> DataFrame:
+    """What is cut from each unit: the text of every segment by its hash."""
+    return cut_segments(spark, d).groupBy("evidence_id", "rule_name", "normalized_anchor", "text_sha256").agg(F.count("*").alias("n"))
+
+
+_MONTH = r"(?i)\b(Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\s+(\d{1,2})(?:st|nd|rd|th)?[,]?\s+(19\d{2}|20\d{2})\b"
+
+
+@query(
+    rf"""WITH x AS (SELECT * FROM {_TEXTS} WHERE NOT starts_with(ltrim(extracted_text), '{{')), m AS (SELECT evidence_id, unnest(regexp_extract_all(extracted_text, '{_MONTH}')) r FROM x),
+    v AS (SELECT evidence_id, try_cast(regexp_extract(r, '(\d{{4}})$', 1) || '-' || lpad((list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(substr(r, 1, 3))))::VARCHAR, 2, '0') || '-' || lpad(regexp_extract(r, '\s(\d{{1,2}})', 1), 2, '0') AS DATE) d FROM m)
+    SELECT evidence_id, count(*) n, min(d)::VARCHAR first_date, max(d)::VARCHAR last_date FROM v WHERE d IS NOT NULL GROUP BY 1"""
+)
+def prose_month_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Dates with the month's name in prose."""
+    rows = preferred_text(spark, d).where(~F.ltrim("extracted_text").startswith("{"))
+    one = rows.select("evidence_id", F.explode(facts.prose_dates(F.col("extracted_text"))).alias("f")).where(~F.col("f.raw_text").rlike(r"^\d"))
+    day = F.col("f.normalized_text")
+    return one.groupBy("evidence_id").agg(F.count("*").alias("n"), F.min(day).alias("first_date"), F.max(day).alias("last_date"))
+
+
+_MONEY_V2 = r"(?i)(?:^|[^\w])((?:USD\s*|\$\s*)(?:\d{1,3}(?:\s*,\s*\d{3})+(?:\.\d{1,2})?|\d+(?:\.\d{1,2})?)(?:[A-Za-z]{1,4})?)(?:$|[^\w])"
+
+
+@query(
+    rf"""WITH m AS (SELECT evidence_id, unnest(regexp_extract_all(extracted_text, '{_MONEY_V2}', 1)) raw FROM {_TEXTS} WHERE NOT starts_with(ltrim(extracted_text), '{{')),
+    k AS (SELECT evidence_id, upper(regexp_extract(regexp_replace(raw, '(?i)^USD', ''), '([A-Za-z]{{1,4}})$', 1)) s, try_cast(regexp_replace(raw, '(?i)USD|[$,\s]|[A-Za-z]+$', '', 'g') AS DECIMAL(28, 6)) v FROM m),
+    w AS (SELECT evidence_id, CASE s WHEN '' THEN 1 WHEN 'K' THEN 1000 WHEN 'M' THEN 1000000 WHEN 'MM' THEN 1000000 WHEN 'B' THEN 1000000000 WHEN 'BN' THEN 1000000000 END f, v FROM k)
+    SELECT evidence_id, count(*) n, round(sum(v::DOUBLE * f), 2) total FROM w WHERE f IS NOT NULL AND v IS NOT NULL GROUP BY 1"""
+)
+def prose_money_v2(spark: SparkSession, d: str) -> DataFrame:
+    """Explicit money in prose, second parser: magnitudes read, spaced thousands joined."""
+    rows = preferred_text(spark, d).where(~F.ltrim("extracted_text").startswith("{"))
+    one = rows.select("evidence_id", F.explode(facts.prose_money(F.col("extracted_text"), 2)).alias("f"))
+    return one.groupBy("evidence_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("f.numeric_value")), 2).alias("total"))
+
+
+_KIND = """CASE WHEN suffix(nm, '_date') OR list_has_any(string_split(nm, '_'), ['date', 'dated', 'effective', 'issued', 'received', 'signed']) THEN 'date' WHEN suffix(nm, '_id') OR suffix(nm, '_number') THEN 'identifier'
+  WHEN list_has_any(string_split(nm, '_'), ['amount', 'budget', 'cost', 'expenditure', 'fee', 'payment', 'price', 'spend', 'total', 'value']) THEN 'money'
+  WHEN list_has_any(string_split(nm, '_'), ['case', 'contract', 'docket', 'id', 'identifier', 'invoice', 'number', 'permit', 'record', 'reference']) AND list_has_any(string_split(nm, '_'), ['id', 'identifier', 'number', 'reference']) THEN 'identifier' END"""
+
+
+@query(
+    f"""WITH r AS (SELECT evidence_id, unnest(json_keys(extracted_text, '$.columns')) k, extracted_text t FROM {_TEXTS} WHERE starts_with(ltrim(extracted_text), '{{') AND json_valid(extracted_text)),
+    v AS (SELECT evidence_id, k, trim(regexp_replace(lower(k), '[^a-z0-9]+', '_', 'g'), '_') nm, regexp_replace(regexp_replace(json_extract_string(t, '$.columns."' || k || '"'), '^{_STRIP}', ''), '{_STRIP}$', '') val FROM r)
+    SELECT DISTINCT evidence_id, k field_name, lower(val) normalized_text FROM v WHERE val <> '' AND NOT starts_with(val, '=') AND length(val) <= 160 AND {_KIND} = 'identifier'"""
+)
+def row_identifiers(spark: SparkSession, d: str) -> DataFrame:
+    """Identifiers that spreadsheet rows state in fields of that kind."""
+    rows = preferred_text(spark, d).withColumn("columns", facts.row_columns(F.col("extracted_text"))).where("columns is not null")
+    found = rows.select("evidence_id", F.explode(facts.row_facts(F.col("columns"))).alias("f")).select("evidence_id", "f.*")
+    return found.where("fact_type = 'identifier'").select("evidence_id", "field_name", "normalized_text").distinct()
+
+
+@query(
+    rf"""WITH t AS (SELECT evidence_id, string_split(regexp_replace(replace(extracted_text, chr(1), ' '), '(?i)(^|[^\w])((?:USD\s*|\$\s*)(?:\d{{1,3}}(?:,\d{{3}})+(?:\.\d{{1,2}})?|\d+(?:\.\d{{1,2}})?))', '\1' || chr(1) || '\2' || chr(1), 'g'), chr(1)) p FROM {_TEXTS}),
+    h AS (SELECT evidence_id, p, unnest(range(1, (len(p) - 1) // 2 + 1)) i FROM t), a AS (SELECT evidence_id, list_sum(list_transform(p[1:2 * i - 1], lambda x: length(x)))::INTEGER s, p[2 * i] raw FROM h)
+    SELECT DISTINCT f.fact_id, f.evidence_id, try_cast(regexp_replace(raw, '(?i)USD|[$,\s]', '', 'g') AS DECIMAL(18, 2))::VARCHAR found FROM a JOIN evidence_facts f ON f.evidence_id = a.evidence_id AND f.char_start = s AND f.char_end = s + length(raw) WHERE f.fact_type = 'money'"""
+)
+def anchored_money_v1(spark: SparkSession, d: str) -> DataFrame:
+    """Recorded amounts whose span is that of an amount that the first parser finds."""
+    found = preferred_text(spark, d).select("evidence_id", F.explode(facts.prose_money(F.col("extracted_text"), 1)).alias("m")).select("evidence_id", F.col("m.char_start").alias("char_start"), F.col("m.char_end").alias("char_end"), F.col("m.normalized_text").alias("found"))
+    f = table(spark, d, "evidence_facts", "fact_id", "evidence_id", "fact_type", "char_start", "char_end").where("fact_type = 'money'").drop("fact_type").distinct()
+    return f.join(found, ["evidence_id", "char_start", "char_end"]).select("fact_id", "evidence_id", "found").distinct()

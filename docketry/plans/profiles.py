@@ -170,7 +170,7 @@ def calendar_addresses(spark: SparkSession, d: str) -> DataFrame:
 )
 def nearest_distance_summary(spark: SparkSession, d: str) -> DataFrame:
     """Distances to the nearest region, by page."""
-    near = layout.nearest(layout.relations(_regions(spark, d)))
+    near = layout.nearest(_regions(spark, d))
     return near.groupBy("page").agg(F.count("*").alias("regions"), F.round(F.min("distance"), 2).alias("least"), F.round(F.median("distance"), 2).alias("middle"), F.round(F.max("distance"), 2).alias("most"))
 
 
@@ -180,5 +180,5 @@ def nearest_distance_summary(spark: SparkSession, d: str) -> DataFrame:
 )
 def bounded_neighbors(spark: SparkSession, d: str) -> DataFrame:
     """Up to twelve neighbours of each region within a distance."""
-    near = layout.within(layout.relations(_regions(spark, d)), 8.0, 12)
+    near = layout.within(_regions(spark, d), 8.0, 12)
     return near.groupBy("page", "s_region").agg(F.count("*").alias("neighbours"), F.min(F.when(F.col("rank") == 1, F.col("t_region"))).alias("nearest"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.operators import changes
 from docketry.plans.registry import query
-from docketry.session import ensure_checkpoint_dir
+from docketry.session import cut, ensure_checkpoint_dir
 from docketry.sources.tables import table
-from docketry.streaming.visits import visit_states_stream
+from docketry.streaming import ledger
 
 _VISITS = """v AS (SELECT user_id::VARCHAR source, ts "at", event_id seq,
   CASE WHEN event_type <> 'error' THEN event_type || ':' || floor("value" / 50)::BIGINT::VARCHAR END artifact FROM events),
@@ -67,14 +69,27 @@ def change_runs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_VISITS} SELECT seq, source, artifact, previous, state FROM t")
 def watch_states_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The same states from a stream of what there is, through state per source."""
-    import uuid
-
+    """The same states from a stream of what there is, kept in a ledger batch by batch."""
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
     path = f"{d}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    visits = _visits(spark.readStream.schema(schema).parquet(path + "*"))
-    run = visit_states_stream(visits).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("seq", "source", "artifact", "previous", "state")
+    visits = _visits(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*"))
+    ledger.follow(visits, base).awaitTermination()
+    return spark.read.parquet(f"{base}/ledger").select("seq", "source", "artifact", "previous", "state")
+
+
+@query(f"WITH {_VISITS} SELECT seq, source, artifact, previous, state FROM t")
+def watch_ledger_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The same states from batches by day, each delivered with the day before it once more."""
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext.getCheckpointDir()}/ledger-{uuid.uuid4().hex}"
+    visits = cut(_visits(table(spark, d, "events", "user_id", "ts", "event_id", "event_type", "value")))
+    first, last = visits.agg(F.min("at"), F.max("at")).first()
+    step = (last - first) / 3
+    for batch in range(3):
+        # a third of the time, after the third before it again
+        upto = first + step * (batch + 1) if batch < 2 else last
+        ledger.append_batch(visits.where(F.col("at").between(first + step * max(0, batch - 1), upto)), batch, base)
+        if batch == 1:
+            ledger.append_batch(visits.where(F.col("at").between(first, upto)), batch, base)
+    return spark.read.parquet(f"{base}/ledger").select("seq", "source", "artifact", "previous", "state")

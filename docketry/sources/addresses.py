@@ -30,7 +30,7 @@ def resolved(base: Column, href: Column) -> Column:
     plain = F.regexp_replace(base, r"#.*$", "")
     return (
         F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), h)).when(h.startswith("/"), F.concat(origin(base), h))
-        .when(h.startswith("?"), F.concat(F.regexp_replace(plain, r"\\?.*$", ""), h)).when(h == "", plain).otherwise(F.concat(rooted, h))
+        .when(h.startswith("?"), F.concat(F.regexp_replace(plain, r"\?.*$", ""), h)).when(h == "", plain).otherwise(F.concat(rooted, h))
     )
 
 

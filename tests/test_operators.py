@@ -50,18 +50,6 @@ def test_visit_states(spark):
     assert changes.visit_states(visits(spark, [])).count() == 0
 
 
-def test_visit_states_stream_over_batches(spark, tmp_path):
-    from docketry.streaming.visits import visit_states_stream
-
-    for part in (VISITS[:2] + VISITS[5:6], VISITS[2:4], VISITS[4:5] + VISITS[6:]):
-        visits(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema(visits(spark).schema).parquet(str(tmp_path / "in"))
-        q = visit_states_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-        q.awaitTermination()
-    got = {(r["source"], r["seq"]): r["state"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == STATES
-
-
 def test_sequence_gaps(spark):
     df = spark.createDataFrame([("a", 1), ("a", 4), ("a", 4), ("b", 7), (None, 3), ("a", None)], "grp string, number long")
     assert sorted((r["grp"], r["missing"]) for r in changes.sequence_gaps(df).collect()) == [("a", 2), ("a", 3)]
@@ -194,8 +182,8 @@ def test_layout(spark):
     rel = layout.relations(regions)
     r = rel.where("s_region = 1 and t_region = 2").first()
     assert (r["dx"], r["dy"], r["distance"], r["x_gap"], r["y_overlap"], r["direction"]) == (3.0, 0.0, 3.0, 1.0, 1.0, "right")
-    assert {(r["s_region"], r["t_region"], r["mutual"]) for r in layout.nearest(rel).collect()} == {(1, 2, True), (2, 1, True), (3, 2, False)}
-    assert layout.within(rel, 10.0, 1).count() == 2
+    assert {(r["s_region"], r["t_region"], r["mutual"]) for r in layout.nearest(regions).collect()} == {(1, 2, True), (2, 1, True), (3, 2, False)}
+    assert layout.within(regions, 10.0, 1).count() == 2
 
 
 def test_references_and_keys(spark):
