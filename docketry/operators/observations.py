@@ -33,7 +33,7 @@ def changes_of_pairs(pairs: DataFrame, units: DataFrame, values: DataFrame) -> D
     ``pairs``: before, after; ``units``: artifact_id, unit_type, locator, evidence_id, extraction_id, text - the
     preferred reading of every unit; ``values``: artifact_id, kind, value - one row for each time an artifact
     states it. Units are aligned by type and locator; ``removed`` and ``added`` are arrays of kind:value, sorted,
-    a value as often as it went or came; ``inputs`` is a fingerprint of the readings compared. Each pair is
+    a value as often as it went or came; ``units_changed`` is null where neither side has a unit; ``inputs`` is a fingerprint of the readings compared. Each pair is
     compared once, however many relations name it.
     """
     by = ["before", "after"]
@@ -53,7 +53,7 @@ def changes_of_pairs(pairs: DataFrame, units: DataFrame, values: DataFrame) -> D
     lists = diff.groupBy(*by).agg(*(F.array_sort(F.flatten(F.collect_list(F.when(cond, F.array_repeat(named, F.abs("d").cast("int")))))).alias(name) for name, cond in (("removed", F.col("d") < 0), ("added", F.col("d") > 0))))
     none = F.array().cast("array<string>")
     out = pairs.join(changed, by, "left").join(inputs, by, "left").join(lists, by, "left")
-    return out.select(*by, F.coalesce("units_changed", F.lit(0)).alias("units_changed"), F.coalesce("removed", none).alias("removed"), F.coalesce("added", none).alias("added"), "inputs")
+    return out.select(*by, "units_changed", F.coalesce("removed", none).alias("removed"), F.coalesce("added", none).alias("added"), "inputs")
 
 
 def observed(asked: DataFrame, compared: DataFrame, substantive: DataFrame, known: DataFrame, unchanged: str = "unchanged", same: str = "same_artifact") -> DataFrame:
