@@ -55,7 +55,7 @@ def test_single_headings_stay(spark):
 
 
 def test_heads_with_figures(spark):
-    assert scanned.head("City of Akron 2026 Budget Page 3") == ("City of Akron # Budget", True, True)
+    assert scanned.head("City of Elm 2026 Budget Page 3") == ("City of Elm # Budget", True, True)
     rows = [*corpus()] + [(f"m{i}", f"um{i}", f"Council Minutes March {i + 3}, 2024\nItem No. {i}-2020\n{PLAIN}\nItem No. {i + 50}-2020\n{PLAIN}") for i in range(4)]
     got = {r["k"] for r in scanned.noise(frame(spark, rows), "k", "g", "t").collect() if r["noise_kind"] == "running_head"}
     assert {f"m{i}" for i in range(4)} <= got and not any(k.startswith("p") and k[1:].isdigit() for k in got)
